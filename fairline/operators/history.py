@@ -231,7 +231,7 @@ def team_form(rows: DataFrame, windows: Sequence[int] = (5, 10), alpha: float =
     for name, short in (("at_home", "home"), ("at_away", "away")):
         for window in windows:
             for field in ("points", "goal_difference"):
-                part = F.transform(F.slice(F.reverse(F.col(name)), 1, window), lambda x, f=field: x[f])
+                part = F.slice(F.reverse(F.col(name)), 1, window).getField(field)
                 total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
                 venue[f"{short}_venue_{field}_{window}"] = F.when(F.size(part) > 0, total / F.size(part))
     exploded = tails.select(*key, "date", *[c.alias(n) for n, c in venue.items()], F.posexplode_outer(F.reverse("tail")).alias("age", "past"))
