@@ -57,9 +57,10 @@ SELECT m.match_id, m.season, m.league, m.result, k.model,
 FROM v_match m CROSS JOIN (SELECT 'candidate' AS model, 0 AS s UNION ALL SELECT 'reference', 1) k""",
     "v_snap": """
 SELECT event_id, user_id AS match_id, event_type AS selection, ts AS quoted_at, 1.01e0 + value AS odds FROM events""",
-    # Two line-ups per match: eleven starters in slots 0-10 and five substitutes in 11-15.
+    # Two squads per match: eleven starters in slots 0-10, five listed substitutes in 11-15 and
+    # three players in 16-18 that only the feature store knows.
     # Slot 3 is missing now and then, so some elevens are incomplete.
-    "v_lineup": """
+    "v_squad": """
 SELECT m.match_id, m.match_date, m.season, m.league, d.side,
  CASE WHEN d.side = 'home' THEN m.home_team ELSE m.away_team END AS team, CAST(s.slot AS INT) AS slot,
  concat(CASE WHEN d.side = 'home' THEN m.home_team ELSE m.away_team END, '-P', CAST((m.match_id + s.slot * 7) % 23 AS STRING)) AS player_id,
@@ -72,8 +73,9 @@ SELECT m.match_id, m.match_date, m.season, m.league, d.side,
  CASE WHEN m.match_id % 3 <> 0 AND s.slot IN (11, 12) THEN 60.0e0 + m.match_id % 30 END AS minute_in,
  CASE WHEN m.match_id % 3 <> 0 AND s.slot IN (9, 10) THEN 60.0e0 + m.match_id % 30 END AS minute_out
 FROM v_match m CROSS JOIN (VALUES ('home'), ('away')) AS d(side)
-CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS s(slot)
+CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18)) AS s(slot)
 WHERE NOT (m.match_id % 17 = 0 AND s.slot = 3)""",
+    "v_lineup": "SELECT * FROM v_squad WHERE slot < 16",
     # Club names for the entity-resolution operators: the part names serve as team names.
     "v_club": """
 SELECT p_partkey AS club_id, concat(p_name, ' ', CAST(p_size AS STRING)) AS club_name FROM part""",
