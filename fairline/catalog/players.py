@@ -133,10 +133,10 @@ dayn AS (SELECT team, match_date, count(*) AS c FROM tg GROUP BY ALL),
 pr AS (SELECT q.team, q.match_date, coalesce(sum(d.c), 0) AS prior FROM (SELECT DISTINCT team, match_date FROM sides2) q LEFT JOIN dayn d ON d.team = q.team AND d.match_date < q.match_date GROUP BY ALL),
 win AS (SELECT q.team, q.match_date, least(q.prior, 10) AS games, q.prior - g.r AS age, g.match_id, g.pts, g.gf, g.ga FROM pr q JOIN tg g ON g.team = q.team AND g.r BETWEEN q.prior - 9 AND q.prior),
 seen AS (SELECT w.team, w.match_date, l.player_id, sum(st) * 1.0e0 / max(games) AS ps, sum(bn) * 1.0e0 / max(games) AS pb, coalesce(avg(CASE WHEN st = 1 THEN pts / 3.0e0 END), 0) AS s,
- coalesce(avg(CASE WHEN st = 1 THEN gf END), 0) AS at, coalesce(-avg(CASE WHEN st = 1 THEN ga END), 0) AS de, max(CASE WHEN age = 0 THEN st ELSE 0 END) AS latest
+ coalesce(avg(CASE WHEN st = 1 THEN gf END), 0) AS atk, coalesce(-avg(CASE WHEN st = 1 THEN ga END), 0) AS de, max(CASE WHEN age = 0 THEN st ELSE 0 END) AS latest
  FROM win w JOIN lu l ON l.match_id = w.match_id AND l.team = w.team GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY team, match_date ORDER BY pb DESC, player_id) AS br FROM seen),
-agg AS (SELECT team, match_date, sum(ps * s) / nullif(sum(ps), 0) AS strength, sum(ps * at) / nullif(sum(ps), 0) AS attack, sum(ps * de) / nullif(sum(ps), 0) AS defense,
+agg AS (SELECT team, match_date, sum(ps * s) / nullif(sum(ps), 0) AS strength, sum(ps * atk) / nullif(sum(ps), 0) AS attack, sum(ps * de) / nullif(sum(ps), 0) AS defense,
  sum(CASE WHEN br <= 5 THEN pb * s END) / nullif(sum(CASE WHEN br <= 5 THEN pb END), 0) AS bench, sum(ps * latest) / nullif(sum(latest), 0) AS continuity,
  avg(CASE WHEN ps > 0 AND ps < 1 THEN -(ps * ln(ps) + (1 - ps) * ln(1 - ps)) / ln(2.0e0) ELSE 0.0e0 END) AS uncertainty FROM rk GROUP BY ALL)
 """

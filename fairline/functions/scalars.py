@@ -24,7 +24,7 @@ def number_or_null(value: Column | str) -> Column:
     """Tolerant cast to double; NaN and infinities become NULL."""
     text = as_column(value).cast("string")
     parsed = text.try_cast("double")
-    return F.when(F.isnan(parsed) | (F.abs(parsed) == float("inf")), None).otherwise(parsed)
+    return finite(parsed)
 
 
 def int_or_null(value: Column | str) -> Column:
@@ -33,8 +33,9 @@ def int_or_null(value: Column | str) -> Column:
 
 
 def finite(value: Column | str) -> Column:
+    """NaN and infinities become NULL (NaN sorts above every number, so one comparison does)."""
     column = as_column(value)
-    return F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
+    return F.when(F.abs(column) < float("inf"), column)
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
@@ -64,20 +65,14 @@ def fair_probability(price: Column | str, total: Column | str) -> Column:
 def argmax_label(values: Sequence[Column | str], labels: Sequence[str] = OUTCOMES) -> Column:
     """Label of the largest value; the first label wins a tie."""
     columns = [as_column(value) for value in values]
-    best = F.greatest(*columns)
-    result = F.when(columns[0] == best, F.lit(labels[0]))
-    for column, label in zip(columns[1:], labels[1:], strict=True):
-        result = result.when(column == best, F.lit(label))
-    return result
+    place = F.array_position(F.array(*columns), F.greatest(*columns)).cast("int")
+    return F.get(F.array(*[F.lit(label) for label in labels]), place - 1)
 
 
 def pick(label: Column | str, values: dict[str, Column | str]) -> Column:
-    """Value belonging to ``label``."""
-    chosen = as_column(label)
-    result = None
-    for key, value in values.items():
-        result = (F.when if result is None else result.when)(chosen == key, as_column(value))
-    return result
+    """Value belonging to ``label``; NULL for any other label."""
+    place = F.array_position(F.array(*[F.lit(key) for key in values]), as_column(label)).cast("int")
+    return F.get(F.array(*[as_column(value) for value in values.values()]), place - 1)
 
 
 def log_loss_row(label: Column | str, values: dict[str, Column | str]) -> Column:
