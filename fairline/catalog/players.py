@@ -144,15 +144,15 @@ agg AS (SELECT team, match_date, sum(ps * s) / nullif(sum(ps), 0) AS strength, s
 
 @query(
     "w13_lineup_aggregates",
-    LINEUP13 + """SELECT m.match_id, r4(h.strength) AS home_player_expected_strength, r4(h.attack) AS home_player_expected_attack, r4(a.defense) AS away_player_expected_defense,
- r4(h.bench) AS home_player_bench_quality, r4(a.bench) AS away_player_bench_quality, r4(h.continuity) AS home_player_lineup_continuity, r4(a.uncertainty) AS away_player_lineup_uncertainty
+    LINEUP13 + """SELECT m.match_id, r6(h.strength) AS home_player_expected_strength, r6(h.attack) AS home_player_expected_attack, r6(a.defense) AS away_player_expected_defense,
+ r6(h.bench) AS home_player_bench_quality, r6(a.bench) AS away_player_bench_quality, r6(h.continuity) AS home_player_lineup_continuity, r6(a.uncertainty) AS away_player_lineup_uncertainty
  FROM v_match m LEFT JOIN agg h ON h.team = m.home_team AND h.match_date = m.match_date LEFT JOIN agg a ON a.team = m.away_team AND a.match_date = m.match_date""",
 )
 def w13(spark, sf):
     out = p.prematch_player_features(matches(spark, sf), lineups(spark, sf))
     names = ["home_player_expected_strength", "home_player_expected_attack", "away_player_expected_defense", "home_player_bench_quality",
              "away_player_bench_quality", "home_player_lineup_continuity", "away_player_lineup_uncertainty"]
-    return out.select("match_id", *[F.round(n, 4).alias(n) for n in names])
+    return out.select("match_id", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query(

@@ -26,27 +26,27 @@ def row_key(column: str | Column) -> Column:
     return F.pmod(F.xxhash64(F.col(column) if isinstance(column, str) else column), F.lit(MODULUS))
 
 
-def mixed(key: Column, resample: Column, seed: int) -> Column:
-    first = F.pmod(key * 48271 + resample * 69621 + seed, F.lit(MODULUS))
-    second = F.pmod(F.pmod(first * first, F.lit(MODULUS)) * 16807 + resample * 101 + key, F.lit(MODULUS))
-    return F.pmod(F.pmod(second * second, F.lit(MODULUS)) * 39373 + first, F.lit(MODULUS))
-
-
-def poisson_weight(key: Column, resample: Column, seed: int) -> Column:
-    level = mixed(key, resample, seed).cast("double") / MODULUS
+def with_weights(df: DataFrame, key: str, resample: str, seed: int) -> DataFrame:
+    """Add ``_w``.  The mixing steps are separate columns, so each is evaluated once per row."""
+    modulus = F.lit(MODULUS)
+    out = df.withColumn("_h1", F.pmod(F.col(key) * 48271 + F.col(resample) * 69621 + seed, modulus))
+    out = out.withColumn("_h2", F.pmod(F.pmod(F.col("_h1") * F.col("_h1"), modulus) * 16807 + F.col(resample) * 101 + F.col(key), modulus))
+    out = out.withColumn("_u", F.pmod(F.pmod(F.col("_h2") * F.col("_h2"), modulus) * 39373 + F.col("_h1"), modulus).cast("double") / MODULUS)
     weight = F.lit(0)
     for count, step in enumerate(POISSON_STEPS, start=1):
-        weight = F.when(level >= step, count).otherwise(weight)
-    return weight
+        weight = F.when(F.col("_u") >= step, count).otherwise(weight)
+    return out.withColumn("_w", weight).drop("_h1", "_h2", "_u")
 
 
 def resampled_sums(df: DataFrame, value: str, key: Column, samples: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, resample) -> ``sum_w`` and ``sum_wx``."""
     if samples <= 0:
         raise ValueError("samples must be positive")
-    drawn = df.select(*by, F.col(value).alias("_x"), key.alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample"))
-    weight = poisson_weight(F.col("_key"), F.col("resample").cast("long"), seed)
-    drawn = drawn.withColumn("_w", weight).filter("_w > 0")
+    rows = df.select(*by, F.col(value).alias("_x"), key.cast("long").alias("_key"))
+    # each row becomes ``samples`` rows of arithmetic, so spread the narrow rows first
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "_key")
+    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    drawn = with_weights(drawn, "_key", "resample", seed)
     return drawn.groupBy(*by, "resample").agg(F.sum("_w").alias("sum_w"), F.sum(F.col("_w") * F.col("_x")).alias("sum_wx"))
 
 

@@ -146,8 +146,7 @@ def cut(
 def fold_ascii(value: Column | str) -> Column:
     """Lower-case, strip accents of Latin letters and drop what is left outside ASCII."""
     lowered = F.lower(as_column(value))
-    expanded = F.regexp_replace(lowered, "ß", "ss")
-    folded = F.translate(expanded, ACCENTED, UNACCENTED)
+    folded = F.translate(lowered, ACCENTED, UNACCENTED)
     return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
 
 

@@ -50,11 +50,11 @@ SELECT l_orderkey AS match_id, l_linenumber AS line, concat('P', CAST(l_partkey
  concat('S', CAST(l_suppkey % 3 AS STRING)) AS source, l_linestatus = 'F' AS has_statistics,
  l_extendedprice, l_partkey FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
     "v_pred": """
-SELECT m.match_id, m.season, m.league, m.result, k.model,
+SELECT m.match_id, m.season, m.league, m.result, CASE k.s WHEN 0 THEN 'candidate' ELSE 'reference' END AS model,
  (1.0e0 + (m.match_id*(3+k.s)) % 7)/(3.0e0 + (m.match_id*(3+k.s)) % 7 + (m.match_id*(5+k.s)) % 5 + (m.match_id*(11+k.s)) % 6) AS p_h,
  (1.0e0 + (m.match_id*(5+k.s)) % 5)/(3.0e0 + (m.match_id*(3+k.s)) % 7 + (m.match_id*(5+k.s)) % 5 + (m.match_id*(11+k.s)) % 6) AS p_d,
  (1.0e0 + (m.match_id*(11+k.s)) % 6)/(3.0e0 + (m.match_id*(3+k.s)) % 7 + (m.match_id*(5+k.s)) % 5 + (m.match_id*(11+k.s)) % 6) AS p_a
-FROM v_match m CROSS JOIN (SELECT 'candidate' AS model, 0 AS s UNION ALL SELECT 'reference', 1) k""",
+FROM v_match m LATERAL VIEW explode(array(0, 1)) k AS s""",
     "v_snap": """
 SELECT event_id, user_id AS match_id, event_type AS selection, ts AS quoted_at, 1.01e0 + value AS odds FROM events""",
     # Two squads per match: eleven starters in slots 0-10, five listed substitutes in 11-15 and
@@ -72,8 +72,8 @@ SELECT m.match_id, m.match_date, m.season, m.league, d.side,
   WHEN s.slot < 13 THEN 30.0e0 - m.match_id % 30 ELSE 0.0e0 END AS minutes_played,
  CASE WHEN m.match_id % 3 <> 0 AND s.slot IN (11, 12) THEN 60.0e0 + m.match_id % 30 END AS minute_in,
  CASE WHEN m.match_id % 3 <> 0 AND s.slot IN (9, 10) THEN 60.0e0 + m.match_id % 30 END AS minute_out
-FROM v_match m CROSS JOIN (VALUES ('home'), ('away')) AS d(side)
-CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18)) AS s(slot)
+FROM v_match m LATERAL VIEW explode(array('home', 'away')) d AS side
+LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18)) s AS slot
 WHERE NOT (m.match_id % 17 = 0 AND s.slot = 3)""",
     "v_lineup": "SELECT * FROM v_squad WHERE slot < 16",
     # Club names for the entity-resolution operators: the part names serve as team names.
@@ -83,9 +83,8 @@ SELECT p_partkey AS club_id, concat(p_name, ' ', CAST(p_size AS STRING)) AS club
 SELECT o.o_orderkey AS match_id, CAST(o.o_orderdate AS DATE) AS match_date, substring(o.o_orderpriority,1,1) AS league,
  CAST(year(o.o_orderdate) AS STRING) AS season, h.club_id AS home_id, a.club_id AS away_id, h.club_name AS home_name, a.club_name AS away_name,
  CAST((o.o_orderkey * 7) % 5 AS INT) AS home_goals, CAST((o.o_custkey * 3) % 4 AS INT) AS away_goals
-FROM orders o JOIN (SELECT count(*) AS clubs FROM part) n ON true
-JOIN v_club h ON h.club_id = o.o_custkey % n.clubs
-JOIN v_club a ON a.club_id = (o.o_custkey + 1 + o.o_orderkey % 97) % n.clubs""",
+FROM (SELECT *, o_custkey % (SELECT count(*) FROM part) AS hk, (o_custkey + 1 + o_orderkey % 97) % (SELECT count(*) FROM part) AS ak FROM orders) o
+JOIN v_club h ON h.club_id = o.hk JOIN v_club a ON a.club_id = o.ak""",
     # The same fixtures as a second provider lists them: other spelling, some a day off,
     # some with a wrong score, some unknown to it.
     "v_external": """
@@ -98,6 +97,7 @@ FROM v_fixture WHERE match_id % 13 <> 5""",
 }
 
 _DUCKDB_FORMS = (
+    (r"LATERAL VIEW explode\(array\(([^)]*)\)\) (\w+) AS (\w+)", r"CROSS JOIN (SELECT unnest([\1]) AS \3) \2"),
     (r"date_add\(match_date, (-?\d+)\)", r"CAST(match_date + INTERVAL '\1 days' AS DATE)"),
 )
 
