@@ -176,3 +176,14 @@ def as_of_latest(
     group = list(dict.fromkeys([*on, cutoff, *by]))
     latest = joined.groupBy(*group).agg(F.max(packed).alias("_latest"))
     return latest.select(*group, *[F.col(f"_latest.{c}").alias(c) for c in dict.fromkeys([instant, *values])])
+
+
+def position_in_order(df: DataFrame, keys: Sequence[str], instant: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """1-based place of each row in its key ordered by (instant, order).
+
+    Rows are ranked inside (key, instant) and offset by the number of earlier rows, so a hot key
+    is spread over its instants instead of being sorted by one task."""
+    offset = prior_totals(df, df, keys, instant, [running_count("_before")])
+    within = Window.partitionBy(*keys, instant).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(within)).join(offset, [*keys, instant]).withColumn(
+        name, F.col("_before") + F.col("_rn")).drop("_before", "_rn")
