@@ -90,9 +90,9 @@ def cutoff_rows(spark, sf):
 
 @query(
     "q5_cutoff_gate",
-    """r AS (SELECT o.match_id, bookmaker, selection, CASE WHEN seq <> 6 THEN quoted_at END AS at, m.match_date + INTERVAL '40 days' AS cut, m.league FROM v_odds o JOIN v_match m USING (match_id) WHERE NOT (selection = 'D' AND seq = 4)),
+    """r AS (SELECT o.match_id, bookmaker, selection, CASE WHEN seq <> 6 THEN quoted_at END AS upd, m.match_date + INTERVAL '40 days' AS cut, m.league FROM v_odds o JOIN v_match m USING (match_id) WHERE NOT (selection = 'D' AND seq = 4)),
  g AS (SELECT match_id, bookmaker, count(DISTINCT selection) AS s, max(league) AS league FROM r GROUP BY ALL)
- SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(at) FROM r) AS timestamped_rows, (SELECT count(*) FROM r WHERE at <= cut) AS cutoff_valid_rows, count(*) AS markets, count(CASE WHEN s = 3 THEN 1 END) AS complete_markets,
+ SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(upd) FROM r) AS timestamped_rows, (SELECT count(*) FROM r WHERE upd <= cut) AS cutoff_valid_rows, count(*) AS markets, count(CASE WHEN s = 3 THEN 1 END) AS complete_markets,
  count(DISTINCT CASE WHEN league = '1' THEN match_id END) AS eligible_matches, 0 AS passed FROM g""",
 )
 def q5(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -125,65 +126,94 @@ def prepare_future_fixtures(raw: DataFrame, aliases: dict[str, str] | None = Non
     )
 
 
+class EloPool:
+    """Rating state of one league: read every row of an instant first, settle when time moves on.
+
+    Small enough to be carried as text, so batch and streaming jobs share it."""
+
+    def __init__(self, rule: EloSettings) -> None:
+        self.rule = rule
+        self.season: str | None = None
+        self.instant = None
+        self.ratings: dict[str, float] = {}
+        self.waiting: list[list] = []
+
+    def expected(self, home: float, away: float) -> float:
+        return 1.0 / (1.0 + 10.0 ** (-(home + self.rule.home_advantage - away) / 400.0))
+
+    def settle(self) -> None:
+        start = self.rule.initial
+        for home, away, goals_home, goals_away in self.waiting:
+            before_home, before_away = self.ratings.get(home, start), self.ratings.get(away, start)
+            score = 0.5 if goals_home == goals_away else float(goals_home > goals_away)
+            scale = 1.0 + math.log1p(abs(goals_home - goals_away))
+            change = self.rule.k * scale * (score - self.expected(before_home, before_away))
+            self.ratings[home], self.ratings[away] = before_home + change, before_away - change
+        self.waiting = []
+
+    def read(self, season: str, at, home: str, away: str, goals_home: float, goals_away: float) -> tuple[float, float]:
+        """Ratings before this row; a completed row waits to be settled with its instant."""
+        if self.instant is not None and at != self.instant:
+            self.settle()
+        self.instant = at
+        if self.season is not None and season != self.season:
+            pull = self.rule.season_pull
+            self.ratings = {team: (1.0 - pull) * rating + pull * self.rule.initial for team, rating in self.ratings.items()}
+        self.season = season
+        if goals_home == goals_home and goals_away == goals_away:
+            self.waiting.append([home, away, goals_home, goals_away])
+        return self.ratings.get(home, self.rule.initial), self.ratings.get(away, self.rule.initial)
+
+    def dump(self) -> str:
+        return json.dumps([self.season, self.instant, self.ratings, self.waiting])
+
+    @classmethod
+    def load(cls, rule: EloSettings, text: str) -> EloPool:
+        pool = cls(rule)
+        pool.season, pool.instant, pool.ratings, pool.waiting = json.loads(text)
+        return pool
+
+
+ELO_INPUT = ("league", "season", "at", "match_id", "home_team", "away_team", "hg", "ag")
+
+
+def elo_input(matches: DataFrame, date: str = "date") -> DataFrame:
+    """The eight narrow columns the rating recursion needs; goals are NULL for unplayed rows."""
+    return matches.select(
+        "league", F.col("season").cast("string").alias("season"), F.unix_micros(F.col(date).cast("timestamp")).alias("at"), "match_id",
+        "home_team", "away_team", F.when(completed(), F.col("home_goals")).cast("double").alias("hg"),
+        F.when(completed(), F.col("away_goals")).cast("double").alias("ag"),
+    )
+
+
+def with_expectation(rated: DataFrame, rule: EloSettings) -> DataFrame:
+    gap = F.col("home_elo") + F.lit(rule.home_advantage) - F.col("away_elo")
+    return rated.withColumn("elo_difference", gap).withColumn("elo_expected_home", 1.0 / (1.0 + F.pow(F.lit(10.0), -gap / 400.0)))
+
+
 def elo_ratings(matches: DataFrame, settings: EloSettings | None = None, date: str = "date") -> DataFrame:
     """Ratings each side holds before its match, one independent pool per league.
 
-    The recursion is inherently sequential inside a pool, so only seven narrow columns reach it:
+    The recursion is inherently sequential inside a pool, so only eight narrow columns reach it:
     rows are shuffled by league, sorted by Spark (which spills) and *streamed* through
-    ``mapInPandas``.  Nothing is grouped in memory; the state is one rating per team.
-    All rows of one instant are read before any of them updates a rating."""
+    ``mapInPandas``.  Nothing is grouped in memory; the state is one rating per team."""
     rule = settings or EloSettings()
-    narrow = matches.select(
-        "league", F.col("season").cast("string").alias("season"), F.col(date).cast("timestamp").alias("at"), "match_id",
-        "home_team", "away_team",
-        F.when(completed(), F.col("home_goals")).cast("double").alias("hg"),
-        F.when(completed(), F.col("away_goals")).cast("double").alias("ag"),
-    )
     id_type = matches.schema["match_id"].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        league = season = instant = None
-        ratings: dict[str, float] = {}
-        waiting: list[tuple[str, str, float, float]] = []
-
-        def expected(home: float, away: float) -> float:
-            return 1.0 / (1.0 + 10.0 ** (-(home + rule.home_advantage - away) / 400.0))
-
-        def settle() -> None:
-            for home, away, goals_home, goals_away in waiting:
-                before_home, before_away = ratings.get(home, rule.initial), ratings.get(away, rule.initial)
-                score = 0.5 if goals_home == goals_away else float(goals_home > goals_away)
-                scale = 1.0 + math.log1p(abs(goals_home - goals_away))
-                change = rule.k * scale * (score - expected(before_home, before_away))
-                ratings[home], ratings[away] = before_home + change, before_away - change
-            waiting.clear()
-
+        league, pool = None, EloPool(rule)
         for batch in batches:
             home_elo, away_elo = [], []
-            columns = (batch[c].to_numpy() for c in ("league", "season", "at", "home_team", "away_team", "hg", "ag"))
-            for row_league, row_season, at, home, away, goals_home, goals_away in zip(*columns, strict=True):
+            for row_league, season, at, _, home, away, hg, ag in zip(*(batch[c].to_numpy() for c in ELO_INPUT), strict=True):
                 if row_league != league:
-                    waiting.clear()
-                    ratings.clear()
-                    league, season, instant = row_league, row_season, at
-                elif at != instant:
-                    settle()
-                    instant = at
-                if row_season != season:
-                    keep = 1.0 - rule.season_pull
-                    for team, rating in ratings.items():
-                        ratings[team] = keep * rating + rule.season_pull * rule.initial
-                    season = row_season
-                home_elo.append(ratings.get(home, rule.initial))
-                away_elo.append(ratings.get(away, rule.initial))
-                if goals_home == goals_home and goals_away == goals_away:
-                    waiting.append((home, away, goals_home, goals_away))
+                    league, pool = row_league, EloPool(rule)
+                before = pool.read(season, at, home, away, hg, ag)
+                home_elo.append(before[0])
+                away_elo.append(before[1])
             yield pd.DataFrame({"match_id": batch["match_id"], "home_elo": home_elo, "away_elo": away_elo})
 
-    streamed = narrow.repartition("league").sortWithinPartitions("league", "at", "match_id")
-    rated = streamed.mapInPandas(fold, f"match_id {id_type}, home_elo double, away_elo double")
-    gap = F.col("home_elo") + F.lit(rule.home_advantage) - F.col("away_elo")
-    return rated.withColumn("elo_difference", gap).withColumn("elo_expected_home", 1.0 / (1.0 + F.pow(F.lit(10.0), -gap / 400.0)))
+    streamed = elo_input(matches, date).repartition("league").sortWithinPartitions("league", "at", "match_id")
+    return with_expectation(streamed.mapInPandas(fold, f"match_id {id_type}, home_elo double, away_elo double"), rule)
 
 
 def team_rows(matches: DataFrame, date: str = "date") -> DataFrame:
