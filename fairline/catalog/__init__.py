@@ -2,6 +2,6 @@
 
 from .registry import ORACLES, QUERIES
 
-from . import evaluation, history, market, players, quality, resolution, sources, streams  # noqa: E402,F401
+from . import evaluation, history, jobs, market, players, quality, resolution, sources, streams  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]
