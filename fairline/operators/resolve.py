@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import compact_key, score_name_pairs, team_key, token_key
 from ..functions.scalars import indel_ratio, natural_key_id
 from ..functions.temporal import keep_latest
+from ..session import stage
 
 
 def register_names(existing: DataFrame, names: DataFrame, name: str, key: str, kind: str) -> DataFrame:
@@ -164,7 +165,7 @@ def resolve_waterfall(external: DataFrame, canonical: DataFrame) -> DataFrame:
     """Team ids and score, else team ids and day, else names; the first answer counts."""
     exact = by_team_ids(external, canonical).select("external_id", F.col("match_id").alias("_1"))
     loose = by_team_date(external, canonical).select("external_id", F.col("match_id").alias("_2"), "score_differs")
-    left = external.join(exact, "external_id", "left").join(loose, "external_id", "left")
+    left = stage(external.join(exact, "external_id", "left").join(loose, "external_id", "left"), "waterfall")
     # only rows the cheap steps left open reach the name comparison
     open_rows = left.filter("_1 IS NULL AND _2 IS NULL").select(*external.columns)
     names = by_similar_names(open_rows, canonical).select("external_id", F.col("match_id").alias("_3"))

@@ -15,6 +15,7 @@ from ..functions.names import strip_accents
 from ..functions.scalars import natural_key_id
 from ..operators import evaluate, history, market, players, quality, resolve, scores, strategy
 from ..operators.resolve import load_lineups, matches_without
+from ..session import stage
 from ..sources import feeds
 
 Resolver = Callable[[DataFrame, DataFrame], DataFrame]
@@ -58,8 +59,10 @@ def import_lineups(
     sides = slots.groupBy("external_id", "side").agg(
         F.count(F.when(starter, 1)).alias("n"), F.count_distinct(F.when(starter, F.col("provider_player_id"))).alias("ids"), placed.alias("placed"))
     complete = sides.filter("n = 11 AND ids = 11 AND placed = 11").groupBy("external_id").agg(F.count(F.lit(1)).alias("sides")).filter("sides = 2").select("external_id")
-    usable = open_games.join(complete, "external_id", "left_semi")
-    found = resolver(usable, canonical).filter("match_id IS NOT NULL").select("external_id", "match_id")
+    # narrow tables that several outputs start from: written once rather than derived for each
+    complete = stage(complete, "complete")
+    usable = stage(open_games.join(complete, "external_id", "left_semi"), "usable")
+    found = stage(resolver(usable, canonical).filter("match_id IS NOT NULL").select("external_id", "match_id"), "resolved")
     teams = canonical.select("match_id", F.col("match_date").alias("match_day"), F.inline(F.array(
         F.struct(F.lit("home").alias("side"), F.col("home_team_id").alias("team_id")), F.struct(F.lit("away").alias("side"), F.col("away_team_id").alias("team_id")))))
     side_key = F.concat_ws("|", F.col("external_id").cast("string"), F.col("side"))
@@ -203,9 +206,11 @@ def evaluate_candidates(
     checks = quality.contract_checks(matches, ["match_id", "date", "season", "league", "home_goals", "away_goals", "result"], ["match_id"], {"result": ["H", "D", "A"]})
     if not checks.filter("status = 'FAIL'").isEmpty():
         raise ValueError("preflight failed; no model is fitted")
-    vectors = players.player_history_vectors(slots).join(store, ["match_id", "player_id"], "left").persist()
-    reliability = players.reliability(vectors).persist()
-    pooled = players.pool_players(vectors, features).join(matches.select("match_id", "season", "league", "result", "home_goals", "away_goals"), "match_id").persist()
+    vectors = players.player_history_vectors(slots).join(store, ["match_id", "player_id"], "left")
+    vectors = stage(vectors, "vectors")
+    reliability = stage(players.reliability(vectors), "reliability")
+    pooled = players.pool_players(vectors, features).join(matches.select("match_id", "season", "league", "result", "home_goals", "away_goals"), "match_id")
+    pooled, rates = stage(pooled, "pooled"), stage(rates, "rates")
     columns = [c for c in pooled.columns if c.startswith(("home_starter", "away_starter", "difference_", "home_bench", "away_bench"))]
     predictions = []
     for learner in learners:

@@ -53,3 +53,14 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 def staging_dir(spark: SparkSession, name: str) -> str:
     """New folder below the shared checkpoint directory for a staged table."""
     return f"{shared_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage where several later steps start from the same rows: the plans built on top
+    stay small, the rows are computed once, and losing an executor loses nothing."""
+    path = staging_dir(df.sparkSession, name)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
