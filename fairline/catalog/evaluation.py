@@ -13,6 +13,7 @@ from ..operators import players as pl
 from ..operators import scores as sc
 from ..operators import strategy as st
 from ..plans.views import view
+from ..session import stage
 from .history import matches
 from .players import lineups
 from .registry import query
@@ -398,6 +399,11 @@ def edges(spark, sf):
     return st.edge_dataset(*edge_inputs(spark, sf), bookmaker="B1")
 
 
+def staged_edges(spark, sf):
+    """For queries that split the seasons first: the join runs once."""
+    return stage(edges(spark, sf), "edges")
+
+
 @query(
     "s1_edge_dataset",
     EDGE_SQL + " SELECT match_id, pick, r6(mp) AS model_probability, r6(kp) AS market_probability, r6(edge) AS edge, r6(odds) AS odds, r6(profit) AS profit, gap AS absolute_elo_difference, CAST(experienced AS INT) AS experienced FROM ed",
@@ -440,14 +446,14 @@ GRID_SQL = """, ru AS (SELECT (((ci * 8 + ei) * 5 + gi) * 4 + pi) * 2 + xi AS ru
 
 @query("s5_rule_search", EDGE_SQL + GRID_SQL + " SELECT rule_id, mc AS min_confidence, me AS min_edge, mg AS min_abs_elo, picks, xi AS require_experience, bets, r4(profit) AS profit, r4(profit / bets) AS roi FROM rs")
 def s5(spark, sf):
-    discovery, _, _ = st.split_seasons(edges(spark, sf))
+    discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
     out = st.search_rules(discovery, 20).withColumn("require_experience", F.col("require_experience").cast("int"))
     return r6s(out, ["profit", "roi"], 4)
 
 
 @query("t5_best_rule", EDGE_SQL + GRID_SQL + " SELECT rule_id, bets, r4(profit / bets) AS roi FROM rs ORDER BY round(profit / bets, 9) DESC, bets DESC, rule_id LIMIT 1")
 def t5(spark, sf):
-    discovery, _, _ = st.split_seasons(edges(spark, sf))
+    discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
     rules = st.search_rules(discovery, 20).withColumn("roi", F.round("roi", 9))
     return st.best_rule(rules).select("rule_id", "bets", F.round("roi", 4).alias("roi"))
 
@@ -465,7 +471,7 @@ CELLS_SQL = """, cl AS (SELECT *, CASE WHEN mp >= 0.75e0 THEN 7 WHEN mp >= 0.70e
  SELECT rule_id, r4(quantile_cont(m, 0.025)) AS discovery_ci_low, r4(quantile_cont(m, 0.975)) AS discovery_ci_high FROM rb GROUP BY rule_id""",
 )
 def s6(spark, sf):
-    discovery, _, _ = st.split_seasons(edges(spark, sf))
+    discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
     return r6s(st.rule_intervals(discovery, 25, key=int_key()), ["discovery_ci_low", "discovery_ci_high"], 4)
 
 
@@ -483,7 +489,7 @@ def period_sql(by: str, source: str) -> str:
 
 
 def held_bets(spark, sf):
-    discovery, holdout, seasons = st.split_seasons(edges(spark, sf))
+    discovery, holdout, seasons = st.split_seasons(staged_edges(spark, sf))
     both = discovery.withColumn("period", F.lit("discovery")).unionByName(holdout.withColumn("period", F.lit("holdout")))
     return both.filter(st.rule_condition(HELD_RULE)), seasons
 

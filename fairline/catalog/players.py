@@ -8,6 +8,7 @@ from ..functions.scalars import round6
 from ..functions.temporal import keep_latest
 from ..operators import players as p
 from ..plans.views import view
+from ..session import stage
 from .history import matches
 from .registry import query
 
@@ -19,7 +20,8 @@ def lineups(spark, sf):
 def observations(spark, sf):
     obs = view(spark, sf, "v_obs")
     order = [F.col(c) for c in ("line", "l_extendedprice", "l_partkey", "team_id")]
-    return keep_latest(obs, ["match_id", "player_id"], order, first=True)
+    # one row per (match, player), written once: the matrix starts several walks from it
+    return stage(keep_latest(obs, ["match_id", "player_id"], order, first=True), "observations")
 
 
 def squad_observations(spark, sf):

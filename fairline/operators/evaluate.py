@@ -60,14 +60,16 @@ def paired_log_loss_bootstrap(
 ) -> DataFrame:
     """One row: pairs, mean difference, 95 % interval, share of better resamples, verdict."""
     pairs = paired_differences(candidate, reference, p)
-    mean = pairs.agg(F.count(F.lit(1)).alias("matches"), F.avg("difference").alias("mean_log_loss_difference")).withColumn("_j", F.lit(1))
+    mean = pairs.agg(F.count(F.lit(1)).alias("matches"), F.avg("difference").alias("mean_log_loss_difference"))
     sums = resampled_sums(pairs, "difference", row_key("match_id") if key is None else key, samples, seed)
-    band = interval(sums).withColumn("_j", F.lit(1))
+    band = interval(sums).select(F.struct("*").alias("band")).scalar()
     verdict = (
         F.when(F.col("matches") == 0, "insufficient_data").when(F.col("ci_high") < 0, "candidate_better")
         .when(F.col("ci_low") > 0, "candidate_worse").otherwise("inconclusive")
     )
-    return mean.join(band, "_j", "left").drop("_j").withColumnRenamed("share_negative", "probability_candidate_better").withColumn("verdict", verdict)
+    joined = mean.withColumn("_band", band).select(
+        "matches", "mean_log_loss_difference", "_band.ci_low", "_band.ci_high", F.col("_band.share_negative").alias("probability_candidate_better"))
+    return joined.withColumn("verdict", verdict)
 
 
 def set_difference_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

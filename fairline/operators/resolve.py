@@ -9,8 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import compact_key, score_name_pairs, team_key, token_key
-from ..functions.scalars import indel_ratio, natural_key_id
+from ..functions.names import compact_key, indel_similarity, score_name_pairs, team_key, token_key
+from ..functions.scalars import natural_key_id
 from ..functions.temporal import keep_latest
 from ..session import stage
 
@@ -139,13 +139,14 @@ def by_team_date(external: DataFrame, canonical: DataFrame) -> DataFrame:
     return both.select("external_id", "match_id", ((F.col("home_goals") != F.col("_h")) | (F.col("away_goals") != F.col("_a"))).alias("score_differs"))
 
 
-def best_and_runner_up(scored: DataFrame, key: str, score: str, candidate: str) -> DataFrame:
+def best_and_runner_up(scored: DataFrame, key: str, score: str, candidate: str, carry: Sequence[str] = ()) -> DataFrame:
     """One row per key: best candidate, its score and the runner-up's score (NULL if alone)."""
     order = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(candidate))
     top = scored.withColumn("_rn", F.row_number().over(order)).filter("_rn <= 2")
+    fields = [score, candidate, *carry]
     return top.groupBy(key).agg(
-        F.max(F.when(F.col("_rn") == 1, F.struct(score, candidate))).alias("_best"), F.max(F.when(F.col("_rn") == 2, F.col(score))).alias("runner_up")
-    ).select(key, F.col(f"_best.{candidate}").alias(candidate), F.col(f"_best.{score}").alias(score), "runner_up")
+        F.max(F.when(F.col("_rn") == 1, F.struct(*fields))).alias("_best"), F.max(F.when(F.col("_rn") == 2, F.col(score))).alias("runner_up")
+    ).select(key, *[F.col(f"_best.{f}").alias(f) for f in fields], "runner_up")
 
 
 def by_similar_names(external: DataFrame, canonical: DataFrame, threshold: float = 1.20, gap: float = 0.20) -> DataFrame:
@@ -185,12 +186,12 @@ def reconcile_by_similarity(canonical: DataFrame, source: DataFrame, accept: flo
     right = source.select("source_id", *block, compact_key("home_name").alias("_sh"), compact_key("away_name").alias("_sa"))
     pairs = left.join(right, block)
     for a, b, name in (("_ch", "_sh", "home_similarity"), ("_ca", "_sa", "away_similarity")):
-        distinct = pairs.select(a, b).distinct().withColumn(name, indel_ratio(a, b))
-        pairs = pairs.join(distinct, [a, b])
+        pairs = score_name_pairs(pairs, a, b, name, indel_similarity)
     pairs = pairs.withColumn("mean_similarity", (F.col("home_similarity") + F.col("away_similarity")) / 2)
-    best = best_and_runner_up(pairs.select("match_id", "source_id", "mean_similarity"), "match_id", "mean_similarity", "source_id")
-    details = best.join(pairs.select("match_id", "source_id", "home_similarity", "away_similarity"), ["match_id", "source_id"])
+    details = best_and_runner_up(pairs, "match_id", "mean_similarity", "source_id", ["home_similarity", "away_similarity"])
     details = details.withColumn("runner_up_margin", F.when(F.col("runner_up").isNull(), 100.0).otherwise(F.col("mean_similarity") - F.col("runner_up"))).drop("runner_up")
+    # one row per canonical match; three results start from it
+    details = stage(details, "similarity")
     good = (F.col("mean_similarity") >= accept) & (F.least("home_similarity", "away_similarity") >= weakest) & (F.col("runner_up_margin") >= lead)
     doubtful = ~good & (F.col("mean_similarity") >= weakest)
     return (
