@@ -53,7 +53,7 @@ def b13(spark, sf):
     return view(spark, sf, "v_club").select("club_id", compact_key(name).alias("key"))
 
 
-@query("b14_team_key", "SELECT doc_id, length(regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g')) AS letters FROM documents WHERE lang IN ('en', 'fr')")
+@query("b14_team_key", "SELECT doc_id, length(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')) AS letters FROM documents WHERE lang IN ('en', 'fr')")
 def b14(spark, sf):
     docs = table(spark, sf, "documents").filter("lang IN ('en', 'fr')")
     return docs.select("doc_id", F.length(F.regexp_replace(team_key("text", noise=["-"], aliases={"-": "-"}), "[^a-z]", "")).alias("letters"))

@@ -43,9 +43,14 @@ def running_max(name: str, value: Column) -> Running:
 
 
 def running_latest(name: str, order: Sequence[Column], values: dict[str, Column]) -> Running:
-    """Greatest struct ``(order..., values...)`` seen so far."""
+    """Values of the last earlier row; ``order`` starts with the instant and breaks its ties."""
     fields = [c.alias(f"o{i}") for i, c in enumerate(order)] + [c.alias(k) for k, c in values.items()]
-    return Running(name, F.max(F.struct(*fields)), F.max)
+    return Running(name, F.max(F.struct(*fields)), _last_known)
+
+
+def _last_known(column: Column) -> Column:
+    # walks are ordered by the instant, so the greatest entry so far is simply the last one
+    return F.last(column, ignorenulls=True)
 
 
 def prior_totals(
@@ -73,9 +78,10 @@ def prior_totals(
         per = per.withColumn("_bucket", bucket)
         inner = Window.partitionBy(*keys, "_bucket").orderBy(instant).rowsBetween(*before)
         outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)
+        total = lambda m: F.max(m.name) if m.merge is _last_known else m.merge(F.col(m.name))
         carry = (
             per.groupBy(*keys, "_bucket")
-            .agg(*[m.merge(F.col(m.name)).alias(m.name) for m in measures])
+            .agg(*[total(m).alias(m.name) for m in measures])
             .select(*keys, "_bucket", *[m.merge(F.col(m.name)).over(outer).alias(f"_c_{m.name}") for m in measures])
         )
         walked = per.select(
@@ -98,7 +104,9 @@ def _merge_pair(measure: Running, earlier: Column, current: Column) -> Column:
         return F.greatest(earlier, current)
     if measure.merge is F.min:
         return F.least(earlier, current)
-    raise ValueError("only sum, max and min can be carried across buckets")
+    if measure.merge is _last_known:
+        return F.coalesce(current, earlier)
+    raise ValueError("only sum, max, min and latest can be carried across buckets")
 
 
 def last_rows_before(

@@ -279,24 +279,14 @@ def encode_temporal(store: DataFrame, keep: Sequence[str] = ("match_id", "player
     return store.select(*keep, *columns)
 
 
-def teammate_pairs(slots: DataFrame, keys: Sequence[str], values: Sequence[str] = (), limit: int = 30) -> DataFrame:
-    """Unordered teammate pairs (a < b) inside one line-up.
-
-    A line-up is bounded by the rules of the game; groups above ``limit`` players are not
-    line-ups and belong to the quarantine of the validity gate, so they are left out here."""
-    packed = F.struct("player_id", *values)
-    squad = slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= limit)
-    listed = slots.join(squad, list(keys)).groupBy(*keys).agg(F.sort_array(F.collect_set(packed)).alias("_players"))
-    paired = F.flatten(
-        F.transform(
-            F.col("_players"),
-            lambda x, i: F.transform(F.slice(F.col("_players"), i + 2, F.size("_players")), lambda y: F.struct(x.alias("a"), y.alias("b"))),
-        )
-    )
-    return listed.select(*keys, F.explode(paired).alias("_pair")).select(
-        *keys, F.col("_pair.a.player_id").alias("a"), F.col("_pair.b.player_id").alias("b"),
-        *[F.col(f"_pair.{s}.{v}").alias(f"{s}_{v}") for v in values for s in ("a", "b")],
-    )
+def teammate_pairs(slots: DataFrame, keys: Sequence[str], values: Sequence[str] = ()) -> DataFrame:
+    """Unordered teammate pairs (a < b) inside one line-up: 55 for an eleven.
+
+    An equality self-join on the line-up; repeated rows of a player in one line-up count once."""
+    listed = slots.select(*keys, "player_id", *values).distinct()
+    left = listed.select(*keys, F.col("player_id").alias("a"), *[F.col(v).alias(f"a_{v}") for v in values])
+    right = listed.select(*keys, F.col("player_id").alias("b"), *[F.col(v).alias(f"b_{v}") for v in values])
+    return left.join(right, list(keys)).filter(F.col("a") < F.col("b"))
 
 
 def pair_history(slots: DataFrame) -> DataFrame:

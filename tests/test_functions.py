@@ -11,7 +11,7 @@ from fairline.functions import names, scalars
 from fairline.functions.checks import assert_unique, join_checked, require_columns
 from fairline.functions.quantiles import exact_quantiles
 from fairline.functions.resample import interval, resampled_sums, row_key
-from fairline.functions.temporal import as_of_latest, keep_latest, last_rows_before, position_in_order, prior_totals, running_count, running_max, running_sum
+from fairline.functions.temporal import as_of_latest, keep_latest, last_rows_before, position_in_order, prior_totals, running_count, running_latest, running_max, running_sum
 
 
 def value(spark, expression):
@@ -96,7 +96,8 @@ events = st.lists(st.tuples(st.sampled_from("xy"), st.integers(0, 6), st.integer
 def test_history_equals_brute_force(spark, rows):
     rows = [(k, t, i, v, n) for n, (k, t, i, v) in enumerate(rows)]
     df = spark.createDataFrame(rows, "k string, t int, i int, v int, n int")
-    measures = [running_count("c"), running_sum("s", F.col("v")), running_max("m", F.col("v"))]
+    measures = [running_count("c"), running_sum("s", F.col("v")), running_max("m", F.col("v")),
+                running_latest("l", [F.col("t"), F.col("i"), F.col("n")], {"v": F.col("v")})]
     plain = {(r["k"], r["t"]): r for r in prior_totals(df, df, ["k"], "t", measures).collect()}
     split = {(r["k"], r["t"]): r for r in prior_totals(df, df, ["k"], "t", measures, bucket=F.floor(F.col("t") / 2)).collect()}
     history, probes = df.filter("n % 3 <> 0"), df
@@ -108,6 +109,8 @@ def test_history_equals_brute_force(spark, rows):
             assert found["c"] == len(past)
             assert found["s"] == (sum(known) if known else None)
             assert found["m"] == (max(known) if known else None)
+            last = max(past, key=lambda r: (r[1], r[2], r[4]), default=None)
+            assert (found["l"] and found["l"]["o2"]) == (last[4] if last else None)
         ordered = sorted((r for r in past if r[4] % 3), key=lambda r: (r[1], r[2], r[4]))
         assert [(x["i"], x["n"]) for x in tails[key]["tail"]] == [(r[2], r[4]) for r in ordered[-2:]]
         assert [(x["i"], x["n"]) for x in tails[key]["odd"]] == [(r[2], r[4]) for r in [o for o in ordered if o[2] % 2 == 1][-2:]]
