@@ -292,25 +292,41 @@ def ga10(spark, sf):
     )
 
 
+@query(
+    "ga10_box_statistics",
+    PRICED_SQL + """SELECT bookmaker, timing, count(*) AS n, r6(min(margin)) AS low, r6(quantile_cont(margin, 0.25)) AS q1, r6(median(margin)) AS median, r6(quantile_cont(margin, 0.75)) AS q3, r6(max(margin)) AS high
+ FROM (SELECT bookmaker, timing, total - 1.0e0 AS margin FROM priced) GROUP BY bookmaker, timing""",
+)
+def ga10_box(spark, sf):
+    quotes = m.remove_margin(view(spark, sf, "v_quote"), "odds_h", "odds_d", "odds_a")
+    return rounded(m.box_statistics(quotes, "margin", ["bookmaker", "timing"]), ["low", "q1", "median", "q3", "high"])
+
+
+@query(
+    "b10_normalize_long_snapshot",
+    """s AS (SELECT *, sum(1.0e0/odds) OVER (PARTITION BY match_id, bookmaker, quoted_at, timing, seq) AS total FROM v_odds WHERE odds > 1)
+ SELECT bookmaker, timing, selection, count(*) AS n, r4(sum((1.0e0/odds)/total)) AS p, r4(avg(total - 1.0e0)) AS margin FROM s GROUP BY ALL""",
+)
+def b10_long(spark, sf):
+    rows, _ = m.normalize_long_snapshots(view(spark, sf, "v_odds"), ["match_id", "bookmaker", "quoted_at", "timing", "seq"])
+    return rows.groupBy("bookmaker", "timing", "selection").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("implied_probability"), 4).alias("p"), F.round(F.avg("margin"), 4).alias("margin"))
+
+
 @query(
     "j1_star_join",
-    """SELECT s.s_name AS bookmaker, n.n_name AS provider, r.r_name AS league, hp.p_brand AS home_brand, count(*) AS n, count(k.result) AS with_result, r4(sum(l_extendedprice)) AS amount
- FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
- JOIN part hp ON hp.p_partkey = l.l_partkey LEFT JOIN (SELECT * FROM v_match WHERE home_goals <> 4) k ON k.match_id = l.l_orderkey GROUP BY ALL""",
+    """SELECT s.s_name AS bookmaker, n.n_name AS provider, r.r_name AS league, count(*) AS n, count(k.result) AS with_result, count(DISTINCT h.p_name) AS home_teams, r4(sum(l_extendedprice)) AS amount
+ FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON n.n_nationkey = l.l_partkey % 25 JOIN region r ON r.r_regionkey = o.o_custkey % 5
+ JOIN part h ON h.p_partkey = o.o_custkey % 200 JOIN part a ON a.p_partkey = (o.o_custkey + 7) % 200 LEFT JOIN (SELECT match_id, result FROM v_match WHERE home_goals <> 4) k ON k.match_id = l.l_orderkey GROUP BY ALL""",
 )
 def j1(spark, sf):
-    t = lambda name: table(spark, sf, name)
-    matches = t("lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"
-    )
+    t = lambda name, *columns: table(spark, sf, name).select(*columns)
+    c = F.col
+    odds = t("lineitem", c("l_orderkey").alias("match_id"), c("l_suppkey").alias("bookmaker_id"), (c("l_partkey") % 25).alias("provider_id"), c("l_extendedprice").alias("odds"))
+    games = t("orders", c("o_orderkey").alias("match_id"), (c("o_custkey") % 5).alias("league_id"), (c("o_custkey") % 200).alias("home_team_id"), ((c("o_custkey") + 7) % 200).alias("away_team_id"))
     results = view(spark, sf, "v_match").filter("home_goals <> 4").select("match_id", "result")
-    described = (
-        matches.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(results, F.col("l_orderkey") == F.col("match_id"), "left")
-    )
-    return described.groupBy(
-        F.col("s_name").alias("bookmaker"), F.col("n_name").alias("provider"), F.col("r_name").alias("league"), F.col("p_brand").alias("home_brand")
-    ).agg(F.count(F.lit(1)).alias("n"), F.count("result").alias("with_result"), F.round(F.sum("l_extendedprice"), 4).alias("amount"))
+    star = m.star_odds(
+        odds, games, t("supplier", c("s_suppkey").alias("bookmaker_id"), c("s_name").alias("bookmaker")), t("nation", c("n_nationkey").alias("provider_id"), c("n_name").alias("provider")),
+        t("region", c("r_regionkey").alias("league_id"), c("r_name").alias("league")), t("part", c("p_partkey").alias("team_id"), c("p_name").alias("team_name")), results)
+    return star.groupBy("bookmaker", "provider", "league").agg(
+        F.count(F.lit(1)).alias("n"), F.count("result").alias("with_result"), F.count_distinct("home_team").alias("home_teams"), F.round(F.sum("odds"), 4).alias("amount"))

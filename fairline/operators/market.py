@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_columns
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import (
     OUTCOMES,
     PROBABILITY_FLOOR,
@@ -281,8 +282,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 2
 
 
 def box_statistics(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Five-number summary per group; exact percentiles merge per-value counts on the map side."""
-    q = F.percentile(F.col(column), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), q.alias("_q"))
+    """Exact five-number summary per group; values are ranked in slices, never held in one place."""
+    out = exact_quantiles(df, column, (0.0, 0.25, 0.5, 0.75, 1.0), by)
     names = ("low", "q1", "median", "q3", "high")
-    return out.select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    return out.select(*by, "n", *[F.col(f"q{i}").alias(name) for i, name in enumerate(names)])
