@@ -185,8 +185,8 @@ def analytics_rows(odds: DataFrame, order: Sequence[Column], bin_width: float =
         .withColumn("logloss_contribution", -F.ln(F.max(F.when(F.col("prediction_correct"), probability)).over(snapshot)))
         .withColumn(
             "brier_contribution",
-            # decimal, so the sum does not depend on the order rows arrive in
-            F.sum(F.pow(probability - F.col("prediction_correct").cast("double"), 2).cast("decimal(38,12)")).over(snapshot).cast("double"),
+            # summed as whole units of 1e-12, so the result does not depend on the order of rows
+            F.sum(F.round(F.pow(probability - F.col("prediction_correct").cast("double"), 2) * 1e12).cast("long")).over(snapshot) / 1e12,
         )
         .withColumn("roi", F.when(F.col("prediction_correct"), F.col("odds") - 1.0).otherwise(-1.0))
     )

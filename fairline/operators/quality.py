@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OUTCOMES
-from ..functions.temporal import keep_latest, position_in_order, prior_totals, running_count  # noqa: F401
+from ..functions.temporal import keep_latest, position_in_order
 
 # Reasons of the ready-set gate.
 READY_REASONS = (
