@@ -40,10 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder shared by the executors; a private one is made only where none is configured."""
+    """Folder shared by the executors, from ``spark.checkpoint.dir``.
+
+    A private one is made only in local mode, where driver and executors are one process; on a cluster an unset folder is
+    an error, as each executor would write to a disk of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fairline-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
