@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, simhash
+from . import bpe, merkle, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,8 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     return bpe.digests(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+@query("op1_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_comparison(table(spark, sf_dir, "documents"))
