@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import bpe, chat, merkle, secrets, simhash
+from . import bpe, chat, merkle, phrases, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,34 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_ownership")
 def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+_PHRASE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), s AS (
+    SELECT item_id, w, unnest(range(greatest(len(w) - 12, 1))) AS s FROM i WHERE len(w) > 0
+), g AS (
+    SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 13], ' ') AS phrase, least(len(w), 13) AS size FROM s
+), sizes AS (SELECT DISTINCT size FROM g), p AS (
+    SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS s FROM d, sizes WHERE len(w) >= size
+), q AS (
+    SELECT doc_id, s, size, array_to_string(w[s + 1 : s + size], ' ') AS phrase FROM p
+), o AS (
+    SELECT doc_id, s, q.size, item_id FROM q JOIN g USING (phrase)
+), hit AS (
+    SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS x FROM o) GROUP BY 1
+), own AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+@query("op4_benchmark_contamination", _PHRASE_SQL)
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
