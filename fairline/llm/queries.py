@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import bpe, chat, merkle, phrases, secrets, simhash
+from . import bpe, chat, merkle, phrases, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 @query("op4_benchmark_contamination", _PHRASE_SQL)
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
+@query("op6_quality_scores")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
