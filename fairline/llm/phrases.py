@@ -112,3 +112,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return rows.select(
         "a.doc_id", "a.h", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    bad = contamination(docs, items, id_col, text_col, item_col, item_text_col).filter("contaminated")
+    bad = stage(bad.select(F.col("doc_id").alias("__key_id"), F.col("h").alias("__key_h")).distinct(), "phrase-contaminated")
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__key_id")) & (h == F.col("__key_h")), "left_anti")

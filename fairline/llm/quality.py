@@ -205,3 +205,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "x")
     return map_batches(rows, run, f"{kinds}, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"), *kept[1:])
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least the threshold; fitted as in ``score``, applied without a shuffle."""
+    vectors = word_vectors(docs, id_col, text_col)
+    net = fit(features(docs, vectors, id_col, text_col), labels, id_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([pooled(t.as_py() or "", shared.value) for t in batch.column(text_col)]).reshape(batch.num_rows, WIDTH)
+            yield batch.filter(pa.array(net.probabilities(x.astype(np.float32).astype(float)) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

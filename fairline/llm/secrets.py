@@ -94,12 +94,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by a mark, other columns as they are; overlapping spans become one mark."""
-    found = scan(docs, id_col, text_col, owner_col, repo_cols).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    found = scan(docs, id_col, text_col, owner_col, repo_cols).select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    rows = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__key_id")) & (F.xxhash64(text) == F.col("__hash")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_spans", begin, lambda acc, s: F.struct(
+    cut = F.aggregate("__spans", begin, lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))).drop("_id", "_hash", "_spans")
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col(text_col))).drop("__key_id", "__hash", "__spans")

@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -40,14 +40,15 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``, the fingerprint as a signed 64-bit integer."""
+    """(doc_id, fp, h): a row for each row of ``docs``, fingerprint and text hash as signed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield {"doc_id": batch.column(0), "fp": fps.view(np.int64)}
+            yield {"doc_id": batch.column(0), "fp": fps.view(np.int64), "h": batch.column(2)}
 
-    return map_batches(documents(docs, id_col, text_col), run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return map_batches(documents(docs, id_col, text_col, F.xxhash64(text).alias("h")), run, "doc_id long, fp long, h long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -88,7 +89,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for each row of ``docs``.
+    """(doc_id, h, fp, fingerprint, component, component_id) for each row of ``docs``.
 
     Equal fingerprints are one node, so copies never meet each other in a join; ``component_id`` is the smallest doc_id reachable
     over links of ``bits`` differing bits or fewer.  Null or wordless texts have fingerprint zero and link like any other;
@@ -98,5 +99,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = star_components(links(nodes, bits), "simhash-links").withColumnRenamed("node", "fp")
     nodes = nodes.join(group, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     owner = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(owner, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = nodes.join(owner, "component").select("fp", "component", "component_id")
+    return fps.join(named, "fp").select("doc_id", "h", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the one with the smallest doc_id (null last), then text hash.
+
+    Of repeated rows one stays."""
+    groups = near_duplicates(docs, id_col, text_col, bits, width)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    kept = stage(first.select(F.col("k.doc_id").alias("__key_id"), F.col("k.h").alias("__key_h")).distinct(), "simhash-kept")
+    rows = docs.withColumns({"__key_id": F.col(id_col).cast("long"), "__key_h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = rows.alias("a").join(kept.alias("b"), F.col("a.__key_id").eqNullSafe(F.col("b.__key_id")) & (F.col("a.__key_h") == F.col("b.__key_h")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("__key_id", "__key_h").orderBy(F.lit(1)))
+    return rows.withColumn("__place", place).filter("__place = 1").drop("__key_id", "__key_h", "__place")
