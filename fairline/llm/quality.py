@@ -24,7 +24,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 15, 32, 4, 2
 WIDTH = 2 * DIMENSIONS + 3
 CHUNK = 1 << 16
-#: Labelled rows that the network is fitted on, at most: those with the smallest hash of their id.
+#: Labelled rows that the network is fitted on, at most, chosen by a hash of their id.
 FIT_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 256, 3e-3, 1e-4, 7
 ACCEPT = 0.7
@@ -184,7 +184,10 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     """Network from at most ``fit_rows`` labelled rows of ``features`` that are not held out; unlabelled and null labels don't count."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = rows.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(fit_rows).toArrow()
+    # Only about as many rows as wanted are brought together, however many tasks there are.
+    part = min(1.0, 1.1 * fit_rows / max(1, known.count()))
+    known = known.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).filter(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)))
+    sample = rows.join(known, "doc_id").select("x", "y", "h").orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(fit_rows).toArrow()
     x = np.stack(sample["x"].to_numpy()) if sample.num_rows else np.zeros((0, WIDTH))
     return train(x, sample["y"].to_numpy())
 
