@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import bpe, chat, ctw, merkle, paragraphs, phrases, quality, secrets, simhash
+from . import bpe, chat, ctw, merkle, paragraphs, phrases, quality, repeats, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,8 @@ def context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_paragraph_dedup")
 def paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
