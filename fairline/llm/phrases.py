@@ -86,7 +86,8 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     both = both.select("doc_id", "h", "first", "second", "step", F.col("at").alias("pos"), "off")
     starts = both.join(anchors, ["first", "second", "step"]).select("doc_id", "h", "phrase", (F.col("pos") - F.col("at")).alias("start"), "off")
     by_text = stage(starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "phrase", "off")).alias("starts")), "phrase-starts")
-    found = texts.alias("a").join(by_text.alias("b"), _same("h")).select("a.doc_id", "a.h", words(F.col("a.text")).alias("w"), "b.starts")
+    # The same join at every size: the documents with candidates grow with the corpus, so they are never broadcast.
+    found = texts.alias("a").join(by_text.alias("b").hint("merge"), _same("h")).select("a.doc_id", "a.h", words(F.col("a.text")).alias("w"), "b.starts")
     rows = found.select("doc_id", "h", "w", F.explode("starts").alias("s")).select("doc_id", "h", "w", "s.*", F.size(F.split("s.phrase", " ")).alias("size"))
     inside = F.when((F.col("start") >= 0) & (F.col("off") == 0), F.array_join(F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("size")), " ") == F.col("phrase")).otherwise(False)
     rows = rows.select("doc_id", "h", "start", "size", "phrase", inside.alias("exact"))
