@@ -1,0 +1,425 @@
+"""The training-data operators on small tables: brute force, round trips, and odd rows."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from oracle import compare, connect
+from pyspark.sql import functions as F
+
+from fairline.llm import bpe, chat, common, ctw, merkle, paragraphs, phrases, quality, repeats, secrets, simhash
+from fairline.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, fp string, h string, component_id string, block string"
+have_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def frame(spark, texts, ids=None):
+    """Documents with more columns whose names the operators use themselves."""
+    rows = [(i, t, "en", f"s{k % 3}", 0, "x", "y", "z", None) for k, (i, t) in enumerate(zip(ids or range(len(texts)), texts))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def odd_texts(seed=1):
+    """Null, empty, blank, one very long text, copies and near copies."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    texts = [None, "", " \n\t", "A", "a", "ab " * 30_000]
+    for _ in range(30):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))).capitalize() + "." for _ in range(rng.randint(1, 6))]
+        texts.append("\n".join(lines))
+    for t in texts[6:20]:
+        words = t.split(" ")
+        words[rng.randrange(len(words))] = "Zz"
+        texts += [t, " ".join(words)]
+    return texts
+
+
+def united(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components_of_chain_star_and_pair(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200), (5, 5)]
+    got = {r.node: r.component for r in common.star_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+    assert common.star_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_merkle_tree(spark):
+    texts = odd_texts()
+    rows = {r.doc_id: r for r in merkle.edit_comparison(frame(spark, texts).repartition(5)).collect()}
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        after = plain[(i + 1) % len(plain)]
+        n = len(t) // 4
+        changed = t[: len(t) - n] + after[:n]
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (len(t), sha(changed))
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (merkle.tree(t).hash.hex(), merkle.tree(changed).hash.hex())
+        assert (rows[i].near_edited == 1) == (changed == t) and (rows[i].near_next == 1) == (after == t)
+        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+    same = defaultdict(set)
+    for i, t in enumerate(plain):
+        same[rows[i].fingerprint].add(t)
+    assert all(len(x) == 1 for x in same.values())
+    a, b = merkle.tree("One, two.\nThree four.\nFive six." + "x" * 400), merkle.tree("One, two.\nThree FOUR.\nFive six." + "x" * 400)
+    assert 0.8 < merkle.likeness(a, b) < 1 and len(merkle.compare(a, b)[1]) == 1
+
+
+def test_merkle_ties_and_few_rows(spark):
+    assert merkle.edit_comparison(frame(spark, [])).count() == 0
+    one = merkle.edit_comparison(frame(spark, ["abcdefgh"])).first()
+    assert one.edited_sha256 == sha("abcdefab") and one.near_next == 1
+    ties = merkle.edit_comparison(frame(spark, ["p", "q", None, "q"], [7, 7, None, 7])).collect()
+    assert sorted(r.doc_id for r in ties if r.doc_id) == [7, 7, 7] and len(ties) == 4
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_bpe_equals_library(spark, vocabulary):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    own, rng = bpe.load(vocabulary), random.Random(2)
+    letters = "abcdefghinorst''éßΣİǺ \x1c\x85\xa0\t12٣<|>.,!?日本🙂🏽"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    texts += ["".join(rng.choice("aab") for _ in range(rng.randint(0, 70))) for _ in range(300)]
+    texts += ["x<|startoftext|>It's<|endoftext|><|endoftext|>n", "a" * 3000, "", " "]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == found.ids
+        assert own.decode(found.ids) == library.decode(found.ids, skip_special_tokens=False)
+    docs = frame(spark, [*odd_texts(), texts[0], texts[0]])
+    for r in bpe.digests(docs, vocabulary).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    assert bpe.decode(bpe.encode(docs, vocabulary), vocabulary).filter("doc_id = 3").first().text == "a</w>"
+    assert bpe.digests(frame(spark, []), vocabulary).count() == 0
+
+
+def brute_tree(grams, counts):
+    """Context-tree weighting by its recursive definition, one decision at a time."""
+    nodes = defaultdict(lambda: [0, 0])
+    for g, n in zip(grams, counts):
+        context, byte = g[:-1], g[-1]
+        for k in range(8):
+            for d in range(len(context) + 1):
+                nodes[(context[len(context) - d :], (1 << k) | (byte >> (8 - k)))][(byte >> (7 - k)) & 1] += n
+    children = defaultdict(set)
+    for context, bits in nodes:
+        if context:
+            children[(context[1:], bits)].add((context, bits))
+    log = lambda a, b: sum(np.log((i + 0.5)) for i in range(a)) + sum(np.log(i + 0.5) for i in range(b)) - sum(np.log(i + 1) for i in range(a + b))
+    memo = {}
+
+    def weighted(node):
+        if node not in memo:
+            own = log(*nodes[node])
+            if len(node[0]) == ctw.DEPTH:
+                memo[node] = own, np.inf
+            else:
+                rest = sum(weighted(c)[0] for c in children[node])
+                memo[node] = np.logaddexp(own, rest) - np.log(2), own - rest
+        return memo[node]
+
+    def probability(g):
+        total = 0.0
+        for k in range(8):
+            bits, bit = (1 << k) | (g[-1] >> (8 - k)), (g[-1] >> (7 - k)) & 1
+            p = None
+            for d in range(ctw.DEPTH, -1, -1):
+                node = (g[:-1][ctw.DEPTH - d :], bits)
+                a, b = nodes[node]
+                own = ((b if bit else a) + 0.5) / (a + b + 1)
+                beta = np.exp(weighted(node)[1])
+                p = own if d == ctw.DEPTH else (beta * own + p) / (beta + 1)
+            total += np.log10(p)
+        return total
+
+    return probability
+
+
+def test_context_tree_scores(spark):
+    texts = [t[:300] if t else t for t in odd_texts(3)]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in ctw.scores(docs).collect()}
+    low = [(t or "").encode().lower() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    pad = bytes([ctw.EDGE])
+    cut = lambda t: [(pad * ctw.DEPTH + t + pad)[i : i + ctw.DEPTH + 1] for i in range(len(t) + 1)]
+    counts, words, total = Counter(), Counter(), 0
+    for t, h in zip(low, held):
+        counts.update({g: 0 for g in cut(t)})
+        if not h:
+            counts.update(cut(t))
+            words.update([*t.split(), b"\n"])
+            total += len(t.split()) + 1
+    probability = brute_tree(list(counts), list(counts.values()))
+    known = {g: probability(g) for g in counts}
+    for i, t in enumerate(low):
+        c = [words[w] for w in [*t.split(), b"\n"]]
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(c), sum(x > 0 for x in c), total)
+        assert got[i].base_score == pytest.approx(sum(np.log10((x + 1) / (total + len(words) + 1)) for x in c), abs=1e-9)
+        assert got[i].score == pytest.approx(sum(known[g] for g in cut(t)), rel=1e-5)
+
+
+def test_context_tree_few_rows(spark):
+    assert ctw.scores(frame(spark, [])).count() == 0
+    out = next(i for i in range(100) if ctw.held_out(i))
+    alone = ctw.scores(frame(spark, ["ab"], [out])).first()
+    assert alone.train_tokens == 0 and alone.score == pytest.approx(-24 * np.log10(2), rel=1e-6)
+    ties = ctw.scores(frame(spark, ["a b", "a b", None], [1, 1, None])).collect()
+    assert len(ties) == 3 and len({r.score for r in ties if r.doc_id}) == 1
+
+
+def brute_contamination(texts, items, width=phrases.WINDOW):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    out = []
+    for text in texts:
+        words, hit, found = split(text), set(), set()
+        for item, other in items:
+            w = split(other)
+            for s in range(max(1, len(w) - width + 1) if w else 0):
+                window = w[s : s + width]
+                for at in range(len(words) - len(window) + 1):
+                    if words[at : at + len(window)] == window:
+                        hit.update(range(at, at + len(window)))
+                        found.add(str(item))
+        out.append((len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(words)))
+    return out
+
+
+def test_contamination(spark):
+    texts = odd_texts(4)
+    items = [(1, texts[10]), (2, texts[11]), (2, texts[11]), (3, None), (4, "..."), (5, "Aa bb"), (6, texts[12])]
+    texts += ["x aa BB aa bb", f"so {texts[10]} aa bb {texts[12]}", "aa " * 50]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in phrases.contamination(docs, bench).collect()}
+    for i, want in enumerate(brute_contamination(texts, items)):
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == want
+    clean = phrases.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].contaminated}
+    assert phrases.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert phrases.contamination(docs.limit(0), bench).count() == 0
+    near, _ = phrases.occurrences(frame(spark, ["one rare extra unique end"]), spark.createDataFrame([(1, "rare unique")], "item_id long, text string"), slop=1)
+    assert [(r.start, r.exact) for r in near.collect()] == [(1, False)]
+
+
+@pytest.mark.parametrize("together", [4_000, 1])
+def test_repeated_strings(spark, monkeypatch, together):
+    monkeypatch.setattr(repeats, "STRETCHES", together)
+    rng, width = random.Random(5), 40
+    base = ["".join(rng.choice("ab é") for _ in range(300)) for _ in range(4)]
+    texts = [None, "", "x", "ab" * 400, "a" * 300, "a" * 40]
+    texts += ["".join(rng.choice(base)[rng.randint(0, 150) :][: rng.randint(1, 150)] for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    texts += texts[20:26]
+    data = [(t or "").encode() for t in texts]
+    count = Counter(t[i : i + width] for t in data for i in range(len(t) - width + 1))
+    got = {r.doc_id: r for r in repeats.report(frame(spark, texts).repartition(3), width=width).collect()}
+    kept = {r.doc_id: r.kept for r in repeats.remove(frame(spark, texts), width=width).collect()}
+    for k, t in enumerate(data):
+        gone = {j for i in range(len(t) - width + 1) if count[t[i : i + width]] > 1 for j in range(i, i + width)}
+        rest = bytes(x for j, x in enumerate(t) if j not in gone)
+        want = len(t), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(rest).hexdigest()
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == want and bytes(kept[k]) == rest
+
+
+def test_repeated_strings_few_rows(spark):
+    assert repeats.report(frame(spark, [])).count() == 0
+    rows = repeats.report(frame(spark, ["z" * 400, "z" * 399, "y" * 401], [1, 1, None])).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(399, 0), (400, 0), (401, 401)]
+
+
+def test_run_index_matches():
+    strings = [b"banana", b"ananas", b"bandana"]
+    index = repeats.RunIndex(strings)
+    places = [(k, i) for k, s in enumerate(strings) for i in range(len(s))]
+    common_bytes = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for k, i in places:
+        best = max(common_bytes(strings[k][i:], strings[m][j:]) for m, j in places if (m, j) != (k, i))
+        assert index.matches()[index.starts[k] + i] == best
+    assert index.lengths.sum() == sum(map(len, strings)) + len(strings) and len(index.heads) < index.lengths.sum()
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(40)) for _ in range(150)]
+    bad = [" ".join(rng.choice(["!!", "##", "buy", "now"]) for _ in range(40)) for _ in range(150)]
+    texts = [t for pair in zip(good, bad) for t in pair] + [None, "", "the " * 20_000, good[0], good[0]]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
+    assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in rows)
+    assert all(rows[i].predicted == 1 - i % 2 for i in range(300) if rows[i].held_out)
+    assert rows[303].score == rows[304].score == rows[0].score
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in rows if rows[i].predicted}
+
+
+def test_quality_without_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.score(frame(spark, []), none).count() == 0
+    assert [r.score for r in quality.score(frame(spark, ["x"]), none).collect()] == [0.5]
+    one = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    assert quality.score(frame(spark, ["x"]), one).first().score > 0.5
+
+
+def test_secrets(spark):
+    shared = "AKIA" + "EXAMPLE0" * 2
+    texts = [
+        'say password = "hunter2222" end', "Token:abc token: abcdef", "api_key='" + "0123456789abcdef" * 2 + "'", shared, f"é {shared} {shared}", f"{shared}x", None, "", "deadbeef" * 3,
+        "password=token: abcdefgh", "jwt eyJhbGciOiJIUzI1NiIsInR5cCI6 end", "a" * 50_000, 'say password = "hunter2222" end']
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assign = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans = sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        counts = Counter(k for _, k, _ in spans)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (counts[0], counts[1], counts[2], sha(text))
+        assert {x for x in text.split(",") if x} <= set(got[i].spans.split(","))
+    assert got[3].n_example == 1 and got[0].n_live == 1 and got[10].spans == "token:4:32"
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[0] == f'say {secrets.MASK}" end' and clean[4] == f"é {secrets.MASK} {secrets.MASK}" and clean[6] is None and clean[11] == secrets.MASK
+    assert secrets.redact(docs).columns == docs.columns and secrets.report(docs.limit(0)).count() == 0
+
+
+def test_reply_tree(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "low", 0.1), (1, 3, 1, "assistant", "<|end|>&lt;", 0.9), (1, 4, 3, "user", None, 0.9), (2, 1, 9, "user", "[INST]", None), (3, 1, 2, "a", "x", 0.0), (3, 2, 1, "b", "y", 0.0), (3, 3, 2, "c", "z", 0.0)]
+    nodes = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double").na.fill("", ["text"])
+    got = {r.conv_id: r for r in chat.conversations(nodes).select("conv_id", "formatted", "mask", chat.turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert set(got) == {1, 2} and [tuple(t) for t in got[1].turns] == [("user", "q"), ("assistant", "<|end|>&lt;"), ("user", "")]
+    assert got[1].loss == "<|end|>&lt;" and [tuple(t) for t in got[2].turns] == [("user", "[INST]")]
+    assert chat.conversations(nodes, top=5).filter("conv_id = 1").count() == 2
+    ways = chat.paths(chat.chain(spark.createDataFrame([(1, i, "user", str(i)) for i in range(70)], "conv_id long, turn long, role string, text string")))
+    assert sorted(r.up for r in ways.collect()) == list(range(70))
+    odd = spark.createDataFrame([(None, 0, None, None), (None, 0, None, None), (5, 0, "assistant", "x" * 100_000)], "conv_id long, turn long, role string, text string")
+    assert sorted((str(r.conv_id), len(r.mask)) for r in chat.conversations(chat.chain(odd)).collect()) == [("5", 1), ("None", 0)]
+    assert chat.conversations(chat.chain(odd.limit(0))).count() == 0
+
+
+def test_paragraph_dedup(spark):
+    texts = odd_texts(8) + ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen " * 2] + ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen " * 2 + "x"]
+    where, names = defaultdict(list), []
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").encode().lower().split(b"\n")):
+            words = tuple(line.split())
+            if len(words) >= 5:
+                where[words].append((i, k))
+    names = list(where)
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for w in names]
+    group = united(len(names), [(a, b) for a in range(len(names)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    lead = {}
+    for g, w in zip(group, names):
+        lead[g] = min(lead.get(g, (len(texts), 0)), *where[w])
+    gone = defaultdict(set)
+    for g, w in zip(group, names):
+        for i, k in where[w]:
+            if (i, k) != lead[g]:
+                gone[i].add(k)
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in paragraphs.report(docs).collect()}
+    assert {i: {int(x) for x in r.removed.split(",") if x} for i, r in got.items()} == {i: gone[i] for i in range(len(texts))}
+    cut = {r.doc_id: r.text for r in paragraphs.deduplicate(docs).collect()}
+    for i, t in enumerate(texts):
+        assert cut[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
+    assert paragraphs.report(docs.limit(0)).count() == 0
+    assert paragraphs.report(frame(spark, ["a b c d e", "a b c d e", None], [1, 1, None])).count() == 3
+
+
+def test_paragraph_links_connect_what_all_pairs_would():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 40).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 36, replace=False), rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64)]) for _ in range(60)]
+    pairs = [(a, b) for a in range(60) for b in range(a) if paragraphs.similar(sets[a], sets[b])]
+    links = paragraphs.join_up(sets)
+    assert united(60, pairs) == united(60, links) and len(links) < 60
+
+
+def brute_simhash(text):
+    words = (text or "").encode().lower().split()
+    cut = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in cut]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_simhash(spark):
+    texts = odd_texts(10)
+    fps = [brute_simhash(t) for t in texts]
+    group = united(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    docs = frame(spark, texts)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{fps[i]:016x}", group[i]) for i in range(len(texts))}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(group)
+    assert simhash.keep_one(frame(spark, ["a b c d"] * 4 + [None], [3, 3, 3, 4, None])).count() == 2
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_find_every_pair(spark):
+    rng = random.Random(12)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for f in list(fps):
+        fps |= {f ^ (1 << rng.randrange(64)), f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)), f ^ 0b111 << rng.randrange(60)}
+    fps = sorted(fps | {0, (1 << 64) - 1, 1 << 63, 3})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    assert got == {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+
+
+@have_data
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_oracle(spark, name):
+    problem, rows = compare(QUERIES[name](spark, DATA), connect(DATA), ORACLES[name])
+    assert problem is None and rows > 0
+
+
+@have_data
+def test_pipeline_against_brute_force(spark, vocabulary):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    score = {r.doc_id: r.predicted for r in QUERIES["op6_quality_scores"](spark, DATA).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if score[r.doc_id])
+    fps = [brute_simhash(t) for _, t in rows]
+    group = united(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    rows = [rows[g] for g in sorted(set(group))]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rows = [r for r, b in zip(rows, brute_contamination([t for _, t in rows], items)) if not b[-1]]
+    patterns = r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]{16,}()", "[0-9a-f]{24,}()"
+    own, want = bpe.load(vocabulary), {}
+    for i, t in rows:
+        spans = sorted((m.start(), m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t) if k or len(m[1]) >= 6)
+        out, at = "", 0
+        for a, b in spans:
+            out, at = (out + t[at:a] + secrets.MASK if a >= at else out), max(at, b)
+        ids = own.encode(out + t[at:])
+        want[i] = len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == want and len(corpus_pipeline.STAGES) == 5
