@@ -96,7 +96,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """``docs`` with every span of ``scan`` replaced by a mark, other columns as they are; overlapping spans become one mark."""
     found = scan(docs, id_col, text_col, owner_col, repo_cols).select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__key_id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    # The same join at every size: documents with spans grow with the corpus, so they are never broadcast.
+    rows = docs.join(found.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__key_id")) & (F.xxhash64(text) == F.col("__hash")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate("__spans", begin, lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
