@@ -1,6 +1,6 @@
 """Repeated byte strings by run-length indexes.
 
-Every string of ``WIDTH`` bytes belongs to the smallest hash of an 8-byte word in its first two thirds, its anchor.  Equal strings have
+Every string of ``WIDTH`` bytes belongs to the smallest hash of an 8-byte word in its first third, its anchor.  Equal strings have
 equal anchors at equal places, so the bytes after an anchor that all its strings share (the core) bring them together, wherever they stand.
 Stretches that are equal as a whole repeat as a whole and are settled by counting.  Different stretches with one core go to an index: a
 run-compressed Burrows-Wheeler transform of their text, suffix places kept at both ends of each run.  At a run's end the match with
@@ -29,14 +29,14 @@ WIDTH = 400
 WORD = 8
 BLOCK_BYTES = 32 << 20
 #: Starts looked at together in a long text; text of one index; different stretches of a core that go to an index.
-STARTS, INDEX_BYTES, STRETCHES = 1 << 21, 4 << 20, 4_000
+STARTS, INDEX_BYTES, STRETCHES = 1 << 21, 1 << 20, 4_000
 TEXT, ANCHOR = 0, 1
 SEPARATOR = b"\xff"
 
 
 def _reach(width: int) -> int:
     """Places for an anchor in a string; the core has width - reach + 1 bytes."""
-    return max(1, 2 * width // 3 - WORD + 1)
+    return max(1, min(width // 3 + 4, width - WORD + 1))
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -132,35 +132,36 @@ class RunIndex:
         ends = self.starts + sizes
         #: First place past the string that holds a place.
         self.end = np.repeat(ends, sizes + 1)
-        symbols = self.text.astype(np.int64)
-        symbols[ends] = 256 + np.arange(len(ends))  # every separator sorts apart, so no two suffixes are equal
-        suffixes = self._sorted(symbols)
-        before = symbols[suffixes - 1]
+        suffixes = self._sorted(self.text)
+        before = self.text[suffixes - 1].astype(np.int64)
+        before[suffixes == 0] = 256  # nothing stands before the first place
         edge = np.r_[True, before[1:] != before[:-1]]
         self.symbols, self.lengths = before[edge], np.diff(np.r_[np.flatnonzero(edge), n])
         self.heads, self.tails = suffixes[edge], suffixes[np.r_[edge[1:], True]]
 
     @staticmethod
-    def _sorted(symbols: np.ndarray) -> np.ndarray:
-        """Suffix array by doubling."""
-        n, span = len(symbols), 1
-        values, rank = np.unique(symbols, return_inverse=True)
-        order = np.argsort(rank, kind="stable")
-        while len(values) < n:
-            key = rank * np.int64(n + 1)
-            key[: n - span] += rank[span:] + 1
+    def _sorted(text: np.ndarray) -> np.ndarray:
+        """Suffix array: ranks by the first eight bytes, then three ranks at once, or two in a text too long for that."""
+        n, span = len(text), WORD
+        bits = int(n + 1).bit_length()
+        parts = 3 if 3 * bits <= 63 else 2
+        key = _words(np.r_[text, np.zeros(WORD - 1, np.uint8)])
+        while True:
             order = np.argsort(key)
-            step = np.r_[False, key[order][1:] != key[order][:-1]]
+            ordered = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
-            if rank[order[-1]] == n - 1:
-                break
-            span *= 2
-        return order
+            rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
+            if rank[order[-1]] == n:
+                return order
+            key = rank.copy()
+            for k in range(1, parts):
+                key <<= bits
+                key[: max(n - k * span, 0)] |= rank[k * span :]
+            span *= parts
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Equal bytes from places a and b on, within their strings."""
-        most = np.minimum(self.end[a] - a, self.end[b] - b)
+        """Equal bytes from places a and b on."""
+        most = len(self.text) - np.maximum(a, b)
         words = _words(np.r_[self.text, np.zeros(WORD, np.uint8)])
         length, rows = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
         while len(rows):
@@ -178,7 +179,7 @@ class RunIndex:
         return np.minimum(length, most)
 
     def matches(self) -> np.ndarray:
-        """For each place the longest string from there on that starts elsewhere, too."""
+        """For each place the longest string from there on, within its own, that starts elsewhere, too."""
         best = np.zeros(len(self.text), np.int64)
         up = np.r_[0, self._common(self.heads[1:], self.tails[:-1])]
         down = np.r_[up[1:], 0]
@@ -187,7 +188,7 @@ class RunIndex:
             known[places], value[places] = places, lengths
             known = np.maximum.accumulate(known)
             best = np.maximum(best, value[known] - (np.arange(len(best)) - known))
-        return best
+        return np.minimum(best, self.end - np.arange(len(best)))
 
 
 def repeated(strings: list[bytes], width: int) -> list[tuple[list[int], list[int]]]:
