@@ -29,7 +29,7 @@ from .common import documents, map_batches
 DEPTH = 6
 #: Stands before and after every text; UTF-8 never has it.
 EDGE = 0xFF
-BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 6 << 20
+BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 2 << 20
 #: Key partitions, and the blocks whose requests meet in one task.
 PARTS, BLOCKS_TOGETHER = 128, 64
 TEXT, GRAMS, WORDS, NODES = 0, 1, 2, 3
@@ -189,7 +189,7 @@ def _block_rows(block: int, ids: list[int | None], texts: list[bytes]) -> Iterat
     body = b"".join([len(t).to_bytes(8, "little") + t for t in texts])
     known = np.array([i is not None for i in ids])
     numbers = np.array([i or 0 for i in ids], np.int64)
-    yield row(TEXT, 0, numbers.tobytes(), np.packbits(known).tobytes(), int(train.sum()), zstandard.compress(body, 1))
+    yield row(TEXT, 0, numbers.tobytes(), np.packbits(known).tobytes(), int(train.sum()), zstandard.compress(body, 3))
     keys, counts = [], []
     for a, b in _chunks(texts):
         found, sizes = grams(texts[a:b])
@@ -198,6 +198,8 @@ def _block_rows(block: int, ids: list[int | None], texts: list[bytes]) -> Iterat
             u, n = np.unique(rows, return_counts=True)
             keys.append(u)
             counts.append(n * real)
+        if sum(map(len, keys[1:])) > len(keys[0]) + (1 << 20):
+            keys, counts = ([x] for x in merged(keys, counts))
     words, other = Counter(), set()
     for t, real in zip(texts, train, strict=True):
         words.update(t.split()) if real else other.update(t.split())
@@ -355,6 +357,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             n = int.from_bytes(body[at : at + 8], "little")
             texts.append(body[at + 8 : at + 8 + n])
             at += 8 + n
+        del body
         known = np.unpackbits(np.frombuffer(head["vals"], np.uint8), count=len(texts))
         ids = [int(i) if k else None for i, k in zip(np.frombuffer(head["keys"], np.int64), known, strict=True)]
         ours = [r for r in rows if r["kind"] == GRAMS]
@@ -364,17 +367,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for a, b in _chunks(texts):
             keys, sizes = grams(texts[a:b])
             model_scores += np.add.reduceat(logs[find(keys)], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.float64).tolist()
-        counts: dict[int, int] = {}
-        for r in rows:
-            if r["kind"] == WORDS:
-                counts.update(zip(unpack(r["keys"]).tolist(), unpack(r["vals"]).view(np.int64).tolist(), strict=True))
+        del find, logs
+        asked_words = [r for r in rows if r["kind"] == WORDS]
+        spelled = list({w for t in texts for w in t.split()})
         seen: dict[bytes, int] = {}
+        if spelled:
+            where = Lookup(np.concatenate([unpack(r["keys"]) for r in asked_words]))(word_keys(spelled))
+            seen = dict(zip(spelled, np.concatenate([unpack(r["vals"]).view(np.int64) for r in asked_words])[where].tolist(), strict=True))
         end, out = int(size.train), []
         for i, t, s in zip(ids, texts, model_scores, strict=True):
-            split = t.split()
-            for w in [w for w in {*split} if w not in seen]:
-                seen[w] = counts[xxhash.xxh3_64_intdigest(w)]
-            c = np.array([*[seen[w] for w in split], end], float)
+            c = np.array([*[seen[w] for w in t.split()], end], float)
             out.append({
                 "doc_id": i, "held_out": held_out(i), "n_tokens": len(c), "n_known": int(np.count_nonzero(c)), "train_tokens": n_train,
                 "base_score": float((np.log10(c + 1) - floor).sum()), "score": s})
