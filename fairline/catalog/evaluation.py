@@ -167,20 +167,20 @@ def sides(spark, sf):
 
 @query(
     "m13_paired_bootstrap",
-    DIFF + ", " + weights_sql("pd", "difference", "", 300, 42) + """, mm AS (SELECT b, sum(w * x) / nullif(sum(w), 0) AS m FROM we GROUP BY b), iv AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg(CASE WHEN m < 0 THEN 1.0e0 ELSE 0.0e0 END) AS pb FROM mm)
+    DIFF + ", " + weights_sql("pd", "difference", "", 2000, 42) + """, mm AS (SELECT b, sum(w * x) / nullif(sum(w), 0) AS m FROM we GROUP BY b), iv AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg(CASE WHEN m < 0 THEN 1.0e0 ELSE 0.0e0 END) AS pb FROM mm)
  SELECT count(*) AS matches, r6(avg(difference)) AS mean_log_loss_difference, r6(max(lo)) AS ci_low, r6(max(hi)) AS ci_high, r6(max(pb)) AS probability_candidate_better,
  CASE WHEN max(hi) < 0 THEN 'candidate_better' WHEN max(lo) > 0 THEN 'candidate_worse' ELSE 'inconclusive' END AS verdict FROM pd JOIN iv ON true""",
 )
 def m13(spark, sf):
     candidate, reference = sides(spark, sf)
-    out = e.paired_log_loss_bootstrap(candidate, reference, 300, 42, P, int_key())
+    out = e.paired_log_loss_bootstrap(candidate, reference, 2000, 42, P, int_key())
     return r6s(out, ["mean_log_loss_difference", "ci_low", "ci_high", "probability_candidate_better"])
 
 
 @query("m14_evaluate_frozen", METRIC_SQL + f" SELECT model, {LIST} FROM {metric_block('model')}")
 def m14(spark, sf):
     candidate, reference = sides(spark, sf)
-    return r6s(e.evaluate_frozen(candidate, reference, 100, 42, P, int_key())["metrics"], e.METRICS)
+    return r6s(e.evaluate_frozen(candidate, reference, 2000, 42, P, int_key())["metrics"], e.METRICS)
 
 
 @query(
@@ -481,7 +481,7 @@ HELD_RULE = st.Rule(0.45, 0.02, 0.0, "HA", False)
 
 def period_sql(by: str, source: str) -> str:
     return (
-        weights_sql(source, "profit", f"{by},", 100, 20260725)
+        weights_sql(source, "profit", f"{by},", 5000, 20260725)
         + f""", iv AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT {by}, b, sum(w * x) / nullif(sum(w), 0) AS m FROM we GROUP BY ALL) GROUP BY {by})
  SELECT h.{by}, count(*) AS bets, r4(sum(profit)) AS profit_units, r6(avg(profit)) AS roi, r6(max(lo)) AS ci_low, r6(max(hi)) AS ci_high, r6(avg(mll) - avg(kll)) AS log_loss_delta, r6(avg(mbr) - avg(kbr)) AS brier_delta
  FROM {source} h JOIN iv USING ({by}) GROUP BY h.{by}"""
@@ -502,25 +502,25 @@ def summary_view(df, by):
 @query("s7_period_summary", EDGE_SQL + GRID_SQL + ", " + HELD + ", " + period_sql("period", "hb"))
 def s7(spark, sf):
     bets, _ = held_bets(spark, sf)
-    return summary_view(st.period_summary(bets, ["period"], 100, key=int_key()), "period")
+    return summary_view(st.period_summary(bets, ["period"], 5000, key=int_key()), "period")
 
 
 @query("s8_season_stability", EDGE_SQL + GRID_SQL + ", " + HELD + ", hs AS (SELECT * FROM hb WHERE period = 'holdout'), " + period_sql("season", "hs"))
 def s8(spark, sf):
     bets, _ = held_bets(spark, sf)
-    return summary_view(st.period_summary(bets.filter("period = 'holdout'"), ["season"], 100, key=int_key()), "season")
+    return summary_view(st.period_summary(bets.filter("period = 'holdout'"), ["season"], 5000, key=int_key()), "season")
 
 
 @query(
     "s9_promotion",
-    EDGE_SQL + GRID_SQL + ", " + HELD + ", hs AS (SELECT * FROM hb WHERE period = 'holdout'), " + weights_sql("hs", "profit", "", 100, 20260725)
+    EDGE_SQL + GRID_SQL + ", " + HELD + ", hs AS (SELECT * FROM hb WHERE period = 'holdout'), " + weights_sql("hs", "profit", "", 5000, 20260725)
     + """, iv AS (SELECT quantile_cont(m, 0.025) AS lo FROM (SELECT b, sum(w * x) / nullif(sum(w), 0) AS m FROM we GROUP BY b)), ss AS (SELECT season, avg(profit) AS r FROM hs GROUP BY season)
  SELECT count(*) AS bets, (SELECT count(*) FROM ss) AS seasons, CAST(count(*) > 0 AND max(lo) > 0 AND (avg(mll) < avg(kll) OR avg(mbr) < avg(kbr)) AND (SELECT count(*) FROM ss) = 2 AND (SELECT min(r) FROM ss) > 0 AS INT) AS promoted FROM hs JOIN iv ON true""",
 )
 def s9(spark, sf):
     bets, seasons = held_bets(spark, sf)
-    summary = st.period_summary(bets, ["period"], 100, key=int_key())
-    stability = st.period_summary(bets.filter("period = 'holdout'"), ["season"], 100, key=int_key())
+    summary = st.period_summary(bets, ["period"], 5000, key=int_key())
+    stability = st.period_summary(bets.filter("period = 'holdout'"), ["season"], 5000, key=int_key())
     return st.promotion(summary, stability, seasons).select("bets", "seasons", F.col("promoted").cast("int").alias("promoted"))
 
 

@@ -237,7 +237,7 @@ def p17(spark, sf):
 def p18(spark, sf):
     renamed = view(spark, sf, "v_pred").withColumnsRenamed({"p_h": "probability_home", "p_d": "probability_draw", "p_a": "probability_away"})
     candidate, reference = renamed.filter("model = 'candidate'"), renamed.filter("model = 'reference' AND match_id % 4 <> 0")
-    out = jobs.compare_references(candidate, {"reference": reference}, 50, int_key())["means"]
+    out = jobs.compare_references(candidate, {"reference": reference}, 2000, int_key())["means"]
     return r6s(out.select("model", "matches", "log_loss", "ece"), ["log_loss", "ece"])
 
 
@@ -247,7 +247,7 @@ def p18(spark, sf):
  SELECT period, count(*) AS bets, r4(sum(al.profit)) AS profit_units FROM al JOIN br ON mp >= mc AND edge >= me AND gap >= mg AND contains(picks, pick) AND (xi = 0 OR experienced) GROUP BY period""",
 )
 def p19(spark, sf):
-    out = jobs.edge_research(*edge_inputs(spark, sf), "B1", 20, 50, int_key())
+    out = jobs.edge_research(*edge_inputs(spark, sf), "B1", 20, 5000, int_key())
     return out.summary.select("period", "bets", F.round("profit_units", 4).alias("profit_units"))
 
 

@@ -53,9 +53,9 @@ def b13(spark, sf):
     return view(spark, sf, "v_club").select("club_id", compact_key(name).alias("key"))
 
 
-@query("b14_team_key", "SELECT doc_id, length(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')) AS letters FROM documents WHERE lang IN ('en', 'fr')")
+@query("b14_team_key", "SELECT doc_id, length(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]', '', 'g')) AS letters FROM documents")
 def b14(spark, sf):
-    docs = table(spark, sf, "documents").filter("lang IN ('en', 'fr')")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.length(F.regexp_replace(team_key("text", noise=["-"], aliases={"-": "-"}), "[^a-z]", "")).alias("letters"))
 
 
@@ -320,7 +320,7 @@ def j25_run(spark, sf):
     match_map = games.filter("match_id % 7 <> 0").select(F.concat(F.lit("x"), F.col("match_id").cast("string")).alias("provider_match_id"), "match_id")
     team_map = rows.select(F.col("team").alias("team_id")).distinct().filter("team_id <> 'T7'").withColumn("provider_team_id", F.concat(F.lit("ext-"), "team_id"))
     registry = rows.filter("match_id % 2 = 0").select(F.lit("X").alias("provider"), F.col("player_id").alias("provider_player_id"), F.concat(F.lit("i-"), "player_id").alias("player_id")).distinct()
-    members = rows.filter("match_id % 4 = 0").select(F.concat(F.lit("i-"), "player_id").alias("player_id"), F.col("team").alias("team_id"), F.lit("X").alias("provider")).distinct()
+    members = rows.filter("match_id % 4 = 0 AND ascii(right(player_id, 1)) % 3 <> 0").select(F.concat(F.lit("i-"), "player_id").alias("player_id"), F.col("team").alias("team_id"), F.lit("X").alias("provider")).distinct()
     return r.load_lineups(stored, incoming, match_map, team_map, registry, members, "X", F.concat(F.lit("i-"), "provider_player_id"))
 
 
@@ -336,7 +336,7 @@ def j25_rejected(spark, sf):
 
 
 @query("j25_new_memberships", J25 + """, op AS (SELECT player_id, team, min(match_date) AS valid_from FROM nr GROUP BY ALL) SELECT concat('i-', player_id) AS player_id, team AS team_id, CAST(valid_from AS VARCHAR) AS valid_from FROM op o
- WHERE NOT EXISTS (SELECT 1 FROM v_lineup l WHERE l.match_id % 4 = 0 AND l.player_id = o.player_id AND l.team = o.team)""")
+ WHERE NOT EXISTS (SELECT 1 FROM v_lineup l WHERE l.match_id % 4 = 0 AND ascii(right(l.player_id, 1)) % 3 <> 0 AND l.player_id = o.player_id AND l.team = o.team)""")
 def j25_members(spark, sf):
     return j25_run(spark, sf)["new_memberships"].select("player_id", "team_id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
 

@@ -31,13 +31,11 @@ def season_rows(spark, sf):
 def a1(spark, sf):
     root = staging_dir(spark, "seasons")
     rows = season_rows(spark, sf)
-    seasons = [str(y) for y in range(1995, 2002)]
-    leagues = [str(i) for i in range(1, 6)]
     early, late = f"{root}/early", f"{root}/late"
     rows.filter("season < '1998'").drop("HS").write.partitionBy("season", "league").option("header", True).csv(early)
     rows.filter("season >= '1998'").write.partitionBy("season", "league").option("header", True).csv(late)
-    listed = {(r["season"], r["league"]) for r in rows.select("season", "league").distinct().collect()}
-    wanted = [(f"{early if s < '1998' else late}/season={s}/league={g}", s, g) for s in seasons for g in leagues if (s, g) in listed]
+    listed = sorted((r["season"], r["league"]) for r in rows.select("season", "league").distinct().collect())
+    wanted = [(f"{early if s < '1998' else late}/season={s}/league={g}", s, g) for s, g in listed]
     out = files.read_season_files(spark, wanted)
     return out.groupBy(F.col("Season").alias("season"), F.col("League").alias("league")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(int_or_null("FTHG")).alias("goals"), F.count(int_or_null("HS")).alias("with_shots"))

@@ -192,12 +192,11 @@ def analytics_rows(odds: DataFrame, order: Sequence[Column], bin_width: float =
     )
 
 
-def selection_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Selection-level metrics per group: first per calibration bin, then merged, so the
-    second shuffle carries one row per (group, bin)."""
+def _bin_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sums per (group, calibration bin), from which all selection metrics follow."""
     actual = F.col("prediction_correct").cast("double")
     p = F.col("implied_probability")
-    bins = rows.groupBy(*by, "calibration_bin").agg(
+    return rows.groupBy(*by, "calibration_bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(p).alias("sum_p"),
         F.sum(p * p).alias("sum_pp"),
@@ -209,6 +208,15 @@ def selection_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("brier_contribution").alias("sum_brier"),
         F.sum("margin").alias("sum_margin"),
     )
+
+
+def selection_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Selection-level metrics per group: first per calibration bin, then merged, so the
+    second shuffle carries one row per (group, bin)."""
+    return _merge_bins(_bin_sums(rows, by), by)
+
+
+def _merge_bins(bins: DataFrame, by: Sequence[str]) -> DataFrame:
     total = F.sum("n")
     mean_p = F.sum("sum_p") / total
     in_bin = F.col("calibration_bin").isNotNull()
@@ -226,16 +234,17 @@ def selection_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def compare_bookmakers(rows: DataFrame) -> DataFrame:
-    """Rank bookmakers on selections that all of them quote (on everything if there are none)."""
+    """Rank bookmakers on selections that all of them quote (on everything if there are none).
+
+    The rows are read once: each gets the number of bookmakers that quote its selection, and sums per (bookmaker, number, bin)
+    hold all that the choice and the metrics need."""
     key = ["match_id", "market", "selection", "opening_or_closing"]
-    quoted = rows.select(*key, "bookmaker").distinct()
-    coverage = quoted.groupBy(*key).agg(F.count(F.lit(1)).alias("quoting"))
-    everyone = rows.agg(F.count_distinct("bookmaker").alias("n")).scalar()
-    shared = coverage.filter(F.col("quoting") == everyone).select(*key)
-    any_shared = shared.agg((F.count(F.lit(1)) > 0).alias("b")).scalar()
-    common = rows.join(shared.withColumn("_shared", F.lit(True)), key, "left")
-    common = common.filter(F.col("_shared").isNotNull() | ~any_shared).drop("_shared")
-    measured = selection_metrics(common, ["bookmaker"])
+    quoting = F.size(F.collect_set("bookmaker").over(Window.partitionBy(*key)))
+    bins = _bin_sums(rows.withColumn("quoting", quoting), ["bookmaker", "quoting"])
+    # some rows per bookmaker from here on
+    everything = Window.partitionBy()
+    bins = bins.withColumns({"_everyone": F.size(F.collect_set("bookmaker").over(everything)), "_most": F.max("quoting").over(everything)})
+    measured = _merge_bins(bins.filter((F.col("quoting") == F.col("_everyone")) | (F.col("_most") < F.col("_everyone"))), ["bookmaker"])
     # one row per bookmaker here
     return measured.withColumn("rank", F.rank().over(Window.orderBy("log_loss")))
 

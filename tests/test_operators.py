@@ -4,6 +4,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import json
+
+from fairline.streaming import jobs
 from fairline.operators import evaluate, history, market, players, quality, resolve, scores, strategy
 from fairline.sources import feeds
 
@@ -243,3 +246,25 @@ def test_role_vocabularies(spark):
     assert [r[0] for r in spark.range(11).select(feeds.role_from_slot(F.col("id"))).collect()] == ["F"] * 2 + ["M"] * 4 + ["D"] * 4 + ["G"]
     names = spark.createDataFrame([("Goalkeeper",), ("G",), ("Centre-Back",), ("m",), (None,)], "p string")
     assert [r[0] for r in names.select(players.department("p")).collect()] == ["goalkeeper", "goalkeeper", "defense", "midfield", "unknown"]
+
+
+def _odds_page(fixture, updated, odd):
+    values = [{"value": "Home", "odd": str(odd)}, {"value": "Away", "odd": "1.0"}]
+    item = {"league": {"id": 1, "season": 2024}, "fixture": {"id": fixture, "date": "2024-02-01T15:00:00+00:00"}, "update": updated, "bookmakers": [{"id": 1, "name": "B", "bets": [{"id": 1, "values": values}]}]}
+    return json.dumps({"errors": [], "paging": {"current": 1, "total": 1}, "response": [item]})
+
+
+def test_collector_keeps_late_pages_and_rejects(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    runs = [
+        [_odds_page(1, "2024-01-20T10:00:00+00:00", 2.0)],
+        [_odds_page(1, "2024-01-20T10:00:00+00:00", 2.0), _odds_page(2, "2024-01-09T10:00:00+00:00", 3.0), _odds_page(2, "2013-01-09T10:00:00+00:00", 4.0)],
+        [_odds_page(2, "2024-01-09T10:00:00+00:00", 3.0)],
+    ]
+    for k, pages in enumerate(runs):
+        (landing / f"{k}.json").write_text("\n".join(pages))
+        jobs.collect_odds(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.provider_fixture_id, r.decimal_odds) for r in stored.collect()) == [("1", 2.0), ("2", 3.0), ("2", 4.0)]
+    assert spark.read.parquet(str(tmp_path / "out_rejected")).count() == 5
