@@ -220,11 +220,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     parts = stage(map_batches(documents(docs, id_col, text_col), _blocks(width), _PARTS), "repeats-parts")
     texts = parts.filter(F.col("kind") == TEXT).select("block", "ids", "sizes", "text")
     found = parts.filter(F.col("kind") == ANCHOR).select("block", "idx", "lo", "size", "core", "whole")
+    # What is joined below grows with the corpus, so it is joined in one way at every size.
     twice = stage(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "repeats-cores")
-    hits = stage(found.join(twice, "core", "left_semi"), "repeats-hits")
+    hits = stage(found.join(twice.hint("merge"), "core", "left_semi"), "repeats-hits")
     kinds = stage(hits.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("block", "idx", "lo", "size")).alias("r")), "repeats-kinds")
     mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    asked = kinds.join(mixed, "core").select("core", "whole", "n", "kinds", "r.*")
+    asked = kinds.join(mixed.hint("merge"), "core").select("core", "whole", "n", "kinds", "r.*")
     stretch_schema = _schema("core long, whole long, n long, kinds long, bytes binary")
 
     def fetch(want: pa.Table, have: pa.Table) -> pa.Table:
@@ -264,7 +265,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     single = many.filter("n = 1").join(again, "h", "left_semi").select("core", "whole", F.array("at").alias("begins"), F.array(F.col("at") + width).alias("ends"))
     whole = kinds.filter("n > 1").select("core", "whole", F.array(F.lit(0)).alias("begins"), F.array(F.col("r.size")).alias("ends"))
     marks = marks.unionByName(single).unionByName(whole)
-    placed = hits.join(marks, ["core", "whole"]).select("block", "idx", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("m"))
+    placed = hits.join(marks.hint("merge"), ["core", "whole"]).select("block", "idx", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("m"))
     return placed.select("block", "idx", (F.col("lo") + F.col("m.begins")).alias("begin"), (F.col("lo") + F.col("m.ends")).alias("end")), texts
 
 
