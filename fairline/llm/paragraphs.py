@@ -132,7 +132,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                         sets.append(np.unique(shingles([w])[0]).tobytes())
             yield {"ph": hashes, "shingles": sets}
 
-    texts = documents(docs, id_col, text_col).join(wanted, "doc_id").select("text", "places")
+    # Here and below the other side grows with the corpus, so it is joined in one way at every size.
+    texts = documents(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id").select("text", "places")
     return map_batches(texts, run, "ph binary, shingles binary").groupBy("ph").agg(F.first("shingles").alias("shingles"))
 
 
@@ -144,14 +145,14 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     rows = nodes.select(member.alias("m"), F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.expr("bit_xor(m)").alias("x"), F.expr("sum(cast(m as decimal(20, 0)))").alias("s")).filter("n > 1")
     buckets = stage(buckets.groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key"), "paragraph-buckets")
-    places = nodes.select("ph", "first", F.posexplode("bands").alias("band", "key")).join(buckets, ["band", "key"])
+    places = nodes.select("ph", "first", F.posexplode("bands").alias("band", "key")).join(buckets.hint("merge"), ["band", "key"])
     places = stage(places.select("ph", "first", "band", "key", "n"), "paragraph-members")
     wanted = places.filter("first.doc_id is not null").groupBy("first.doc_id").agg(F.collect_set("first.pos").alias("places"))
     contents = _contents(docs, wanted, id_col, text_col)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("ph"), chunks).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(own, c).alias("low"), F.greatest(own, c).alias("high")))
-    members = places.select("ph", "band", "key", F.explode(tasks).alias("t")).join(contents, "ph").select("ph", "shingles", "band", "key", "t.low", "t.high")
+    members = places.select("ph", "band", "key", F.explode(tasks).alias("t")).join(contents.hint("merge"), "ph").select("ph", "shingles", "band", "key", "t.low", "t.high")
     schema = to_arrow_schema(StructType.fromDDL("a binary, b binary"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -167,10 +168,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = stage(units(docs, id_col, text_col).filter("doc_id is not null"), "paragraph-units")
     group = star_components(links(docs, found, id_col, text_col), "paragraph-links").withColumnRenamed("node", "ph")
     exact = found.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-    exact = exact.join(group, "ph", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "ph"))
+    exact = exact.join(group.hint("merge"), "ph", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "ph"))
     lead = exact.groupBy("component").agg(F.min("first").alias("lead"))
     known = stage(exact.join(lead, "component").select("ph", "lead"), "paragraph-leads")
-    again = found.select("doc_id", "pos", "n_words", "ph").join(known, "ph").filter(F.struct("doc_id", "pos") != F.col("lead"))
+    again = found.select("doc_id", "pos", "n_words", "ph").join(known.hint("merge"), "ph").filter(F.struct("doc_id", "pos") != F.col("lead"))
     return again.select("doc_id", "pos", "n_words", F.col("lead.doc_id").alias("class_doc"), F.col("lead.pos").alias("class_pos")).distinct(), found
 
 
@@ -185,7 +186,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.count("*").alias("n_removed"), F.sum("n_words").cast("long").alias("words_removed"), F.array_sort(F.collect_list("pos")).alias("removed"), F.array_sort(F.collect_set("class_doc")).alias("class_docs"))
     compared = found.select("doc_id", "pos", "ph").groupBy("doc_id").agg(F.count("*").alias("n_compared"))
     rows = documents(docs, id_col, text_col).select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_paragraphs"))
-    rows = rows.join(compared, "doc_id", "left").join(gone, "doc_id", "left")
+    rows = rows.join(compared.hint("merge"), "doc_id", "left").join(gone.hint("merge"), "doc_id", "left")
     none = F.coalesce(F.col("n_removed"), F.lit(0)).cast("long")
     return rows.select(
         "doc_id", "n_paragraphs", F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"), none.alias("n_removed"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"),
