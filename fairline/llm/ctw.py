@@ -186,10 +186,33 @@ def _block_rows(block: int, ids: list[int | None], texts: list[bytes]) -> Iterat
     """A block's text row and its requests."""
     row = lambda kind, part, keys, counts, n, text: {"kind": [kind], "block": [block], "part": [part], "keys": [keys], "counts": [counts], "n_train": [n], "text": [text]}
     train = np.array([not held_out(i) for i in ids])
-    body = b"".join([len(t).to_bytes(8, "little") + t for t in texts])
     known = np.array([i is not None for i in ids])
     numbers = np.array([i or 0 for i in ids], np.int64)
-    yield row(TEXT, 0, numbers.tobytes(), np.packbits(known).tobytes(), int(train.sum()), zstandard.compress(body, 3))
+    packed = zstandard.compress(b"".join([len(t).to_bytes(8, "little") + t for t in texts]), 3)
+    yield row(TEXT, 0, numbers.tobytes(), np.packbits(known).tobytes(), int(train.sum()), packed)
+    for kind, count in ((WORDS, _count_words), (GRAMS, _count_grams)):  # one after the other, to hold the counts of one kind only
+        keys, counts = count(texts, train)
+        part = _part(keys, kind)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+        for p in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[p] : ends[p + 1]]
+            yield row(kind, p, pack(keys[own]), pack(counts[own]), None, None)
+
+
+def _count_words(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words and their counts in training texts."""
+    words: Counter = Counter()
+    for t, real in zip(texts, train, strict=True):
+        if real:
+            words.update(t.split())
+        else:
+            words.update(dict.fromkeys(t.split(), 0))
+    return merged([word_keys([*words])], [np.fromiter(words.values(), np.int64, len(words))])
+
+
+def _count_grams(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All contexts with their byte and their counts in training texts."""
     keys, counts = [], []
     for a, b in _chunks(texts):
         found, sizes = grams(texts[a:b])
@@ -200,16 +223,7 @@ def _block_rows(block: int, ids: list[int | None], texts: list[bytes]) -> Iterat
             counts.append(n * real)
         if sum(map(len, keys[1:])) > len(keys[0]) + (1 << 20):
             keys, counts = ([x] for x in merged(keys, counts))
-    words, other = Counter(), set()
-    for t, real in zip(texts, train, strict=True):
-        words.update(t.split()) if real else other.update(t.split())
-    spelled = [*words, *other]
-    for kind, (k, n) in ((GRAMS, merged(keys, counts)), (WORDS, merged([word_keys(spelled)], [np.array([*words.values(), *[0] * len(other)], np.int64)]))):
-        part = _part(k, kind)
-        order = np.argsort(part, kind="stable")
-        for p, at in zip(*np.unique(part[order], return_index=True), strict=True):
-            own = order[at : at + np.count_nonzero(part == p)]
-            yield row(kind, int(p), pack(k[own]), pack(n[own]), None, None)
+    return merged(keys, counts)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
