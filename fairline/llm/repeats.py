@@ -275,13 +275,17 @@ def _cut(marks: DataFrame, texts: DataFrame, finish, schema: str) -> DataFrame:
 
     def run(want: pa.Table, have: pa.Table) -> pa.Table:
         ids, ends, text = _opened(have.to_pylist()[0])
-        data = np.frombuffer(text, np.uint8)
-        edges = np.zeros(len(data) + 1, np.int64)
-        base = ends[want["idx"].to_numpy()]
-        np.add.at(edges, base + want["begin"].to_numpy(), 1)
-        np.add.at(edges, base + want["end"].to_numpy(), -1)
-        gone = np.cumsum(edges[:-1]) > 0
-        return _rows(arrow, [finish(i, data[a:b], gone[a:b]) for i, a, b in zip(ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        data, rows = np.frombuffer(text, np.uint8), []
+        idx, begin, end = (want[c].to_numpy() for c in ("idx", "begin", "end"))
+        order = np.argsort(idx, kind="stable")
+        own = np.searchsorted(idx[order], np.arange(len(ids) + 1))
+        for k, i in enumerate(ids):
+            part = data[ends[k] : ends[k + 1]]
+            edges, marked = np.zeros(len(part) + 1, np.int32), order[own[k] : own[k + 1]]
+            np.add.at(edges, begin[marked], 1)
+            np.add.at(edges, end[marked], -1)
+            rows.append(finish(i, part, np.cumsum(edges[:-1], dtype=np.int32) > 0))
+        return _rows(arrow, rows)
 
     return marks.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, schema)
 
