@@ -21,7 +21,7 @@ from .players import LINEUP13, lineups, slots, squad_observations
 from .quality import READY, payloads, stored_lineups
 from .registry import query
 from .resolution import FACTS, J7, canonical, external, facts, j7
-from .sources import feed_payloads, report_frame, roster_frame, season_rows, wide_frame
+from .sources import feed_payloads, line_numbers, report_frame, roster_frame, season_rows, wide_frame
 
 P1_SQL = """rec AS (SELECT m.match_id AS source, substr(sha256(concat(league, '|', season, '|', CAST(match_date AS VARCHAR), '|', home_team, '|', away_team)), 1, 24) AS pid, match_id FROM v_match m),
  tr AS (SELECT source, pid, 'Market Average' AS bookmaker FROM rec WHERE match_id % 7 <> 0 UNION ALL SELECT source, pid, 'Bet365' FROM rec WHERE match_id % 3 <> 0)"""
@@ -157,10 +157,11 @@ def p10(spark, sf):
 def p11(spark, sf):
     items = table(spark, sf, "lineitem")
     price = {"home": F.lit(1.2) + F.col("l_quantity") / 20, "draw": F.lit(2.5) + F.col("l_discount") * 10, "away": F.lit(1.5) + F.col("l_tax") * 40}
-    measures = [F.max(F.when(F.col("l_linenumber") == b, p)).alias(f"{s}_b{b}_70") for b in range(1, 5) for s, p in price.items()]
+    books = line_numbers(items)
+    measures = [F.max(F.when(F.col("l_linenumber") == int(b), p)).alias(f"{s}_b{n}_70") for n, b in enumerate(books, start=1) for s, p in price.items()]
     series = items.groupBy((F.col("l_orderkey") + 1000000000).alias("match_id")).agg(*measures)
     source = external(spark, sf).select(F.col("external_id").alias("source_id"), "match_date", "home_goals", "away_goals", "home_name", "away_name", F.col("match_date").cast("timestamp").alias("kickoff"))
-    return jobs.cutoff_snapshot_with_manifest(series, canonical(spark, sf), source, ["1", "2", "3", "4"])["manifest"]
+    return jobs.cutoff_snapshot_with_manifest(series, canonical(spark, sf), source, books)["manifest"]
 
 
 @query(

@@ -205,20 +205,26 @@ def a10(spark, sf):
     return out.select(F.col("source").cast("long").alias("source"), "bookmaker", "timing", round6("odds_d").alias("odds_d"))
 
 
+def line_numbers(items):
+    """Bookmakers of the price series: a short list, by number."""
+    return [str(r[0]) for r in items.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+
+
 @query(
     "a11_cutoff_snapshot",
-    """w AS (SELECT l_orderkey AS match_id, l_linenumber AS b, 1.2e0 + l_quantity / 20 AS h, CASE WHEN l_linenumber = 3 THEN 1.0e0 ELSE 2.5e0 + l_discount * 10 END AS d, 1.5e0 + l_tax * 40 AS a FROM lineitem WHERE l_linenumber <= 4),
- p AS (SELECT match_id, b, max(h) AS h, max(d) AS d, max(a) AS a FROM w GROUP BY ALL), k AS (SELECT p.*, m.match_date FROM p JOIN v_match m USING (match_id) WHERE m.match_id % 3 <> 0 AND d > 1)
+    """w AS (SELECT l_orderkey AS match_id, l_linenumber AS b, 1.2e0 + l_quantity / 20 AS h, CASE WHEN l_linenumber = 3 THEN 1.0e0 ELSE 2.5e0 + l_discount * 10 END AS d, 1.5e0 + l_tax * 40 AS a FROM lineitem),
+ p AS (SELECT match_id, b, max(h) AS h, max(d) AS d, max(a) AS a FROM w GROUP BY ALL), k AS (SELECT p.*, m.match_date FROM p JOIN v_match m USING (match_id) WHERE d > 1)
  SELECT match_id, CAST(b AS VARCHAR) AS bookmaker, 'H' AS selection, r6(h) AS odds, epoch_us(CAST(match_date AS TIMESTAMP)) - 3600000000 AS updated FROM k UNION ALL SELECT match_id, CAST(b AS VARCHAR), 'D', r6(d), epoch_us(CAST(match_date AS TIMESTAMP)) - 3600000000 FROM k
  UNION ALL SELECT match_id, CAST(b AS VARCHAR), 'A', r6(a), epoch_us(CAST(match_date AS TIMESTAMP)) - 3600000000 FROM k""",
 )
 def a11(spark, sf):
     items = table(spark, sf, "lineitem")
     price = {"home": F.lit(1.2) + F.col("l_quantity") / 20, "draw": F.when(F.col("l_linenumber") == 3, 1.0).otherwise(F.lit(2.5) + F.col("l_discount") * 10), "away": F.lit(1.5) + F.col("l_tax") * 40}
-    measures = [F.max(F.when(F.col("l_linenumber") == b, p)).alias(f"{s}_b{b}_70") for b in range(1, 5) for s, p in price.items()]
+    books = line_numbers(items)
+    measures = [F.max(F.when(F.col("l_linenumber") == int(b), p)).alias(f"{s}_b{n}_70") for n, b in enumerate(books, start=1) for s, p in price.items()]
     series = items.groupBy(F.col("l_orderkey").alias("match_id")).agg(*measures)
-    mapped = matches(spark, sf).filter("match_id % 3 <> 0").select(F.col("match_id").alias("source_id"), "match_id", F.col("date").cast("timestamp").alias("kickoff"))
-    out = feeds.cutoff_snapshot(series, mapped, ["1", "2", "3", "4"])
+    mapped = matches(spark, sf).select(F.col("match_id").alias("source_id"), "match_id", F.col("date").cast("timestamp").alias("kickoff"))
+    out = feeds.cutoff_snapshot(series, mapped, books)
     return out.select("match_id", "bookmaker", "selection", round6("odds").alias("odds"), F.unix_micros("provider_updated_at").alias("updated"))
 
 
