@@ -3,14 +3,21 @@
 Equal paragraphs become one node first.  Paragraphs that collide in a band meet in a bucket, and buckets with the same members are
 looked at once.  In a bucket, paragraphs are compared exactly until those that belong together hang together; pairs that already do are
 not compared, so a bucket of n variants gives n links, not n^2.  A large bucket is cut into chunks and every pair of chunks goes to a
-task of its own.  Of each component the first occurrence stays."""
+task of its own.  Of each component the first occurrence stays.
+
+Passages are the finer unit: runs of ``PASSAGE`` words or more that also stand in another document, wherever lines begin.  Of any ``PASSAGE``
+words in a row at least one window of ``SEED`` is picked by its own hash alone, so equal passages pick equal windows.  Windows found in
+several documents are compared with the first one's surroundings word by word; spans that hang together become one."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +34,16 @@ BANDS, ROWS = 8, 3
 #: Paragraphs of a bucket that one task compares.
 CHUNK = 2_000
 WORDS_KEPT = 500_000
+#: Text that is taken apart at a time.
+PIECE_BYTES = 1 << 20
+#: Words of a passage that is found inside different lines, and of the windows that bring its occurrences together.
+PASSAGE, SEED = 50, 25
 _words: dict[bytes, int] = {}
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED_PLACE = _rng.integers(1, 1 << 63, SEED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,21 +51,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def split(text: str) -> list[tuple[int, list[bytes]]]:
-    """(position, words) of the paragraphs, lines, with words enough; A-Z in lower case."""
-    lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-    return [(k, w) for k, w in enumerate(line.split() for line in lines) if len(w) >= WIDTH]
+def split(text: str) -> list[tuple[int, int, list[bytes]]]:
+    """(position, words before it, words) of the paragraphs, lines, with words enough; A-Z in lower case."""
+    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    return [(k, at, w) for k, (at, w) in enumerate(zip(accumulate(map(len, lines), initial=0), lines)) if len(w) >= WIDTH]
 
 
-def shingles(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles of paragraphs of ``WIDTH`` words or more, and where each paragraph's begin."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > WORDS_KEPT:
         _words.clear()
-    sizes = np.array([len(p) for p in paragraphs], np.int64)
-    flat = [w for p in paragraphs for w in p]
-    for w in [w for w in {*flat} if w not in _words]:
+    for w in [w for w in {*words} if w not in _words]:
         _words[w] = xxhash.xxh3_64_intdigest(w)
-    word = np.fromiter(map(_words.__getitem__, flat), np.uint64, len(flat))
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def seeds(word: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the windows picked in texts of so many words: of every ``PASSAGE`` words of a text the window of ``SEED`` with the smallest
+    hash, the first of equal ones."""
+    ends = np.cumsum([len(word)] if sizes is None else sizes)
+    count, reach = len(word) - PASSAGE + 1, PASSAGE - SEED + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(word) - SEED + 1, np.uint64)
+    mixed = _mix(word)
+    for k in range(SEED):
+        h += mixed[k : len(h) + k] * _SEED_PLACE[k]
+    h = _mix(h)
+    best = np.arange(len(h))
+    span = 1
+    while span * 2 <= reach:
+        best = np.where(h[best[span:]] < h[best[:-span]], best[span:], best[:-span])
+        span *= 2
+    left, right = best[:count], best[reach - span : reach - span + count]
+    whole = np.arange(count) + PASSAGE <= ends[np.searchsorted(ends, np.arange(count), "right")]
+    return np.unique(np.where(h[right] < h[left], right, left)[whole])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, as texts in words take many times their size."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def shingles(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of paragraphs of ``WIDTH`` words or more, and where each paragraph's begin."""
+    sizes = np.array([len(p) for p in paragraphs], np.int64)
+    word = word_hashes([w for p in paragraphs for w in p])
     hashes = np.zeros(len(word) - WIDTH + 1, np.uint64)
     for k in range(WIDTH):
         hashes += _mix(word[k : len(word) - WIDTH + 1 + k]) * _PLACE[k]
@@ -96,23 +142,23 @@ def join_up(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-_UNITS = "doc_id long, pos int, n_words int, ph binary, bands array<long>"
+_UNITS = "doc_id long, pos int, at int, n_words int, ph binary, bands array<long>"
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, n_words, ph, bands): paragraphs that take part; ph is a 128-bit hash of the words."""
+    """(doc_id, pos, at, n_words, ph, bands): paragraphs that take part, ``at`` words before them; ph is a 128-bit hash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, found = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = split(t.as_py())
                 ids += [i] * len(own)
                 found += own
             if found:
-                keys = bands(*shingles([w for _, w in found])).view(np.int64)
+                keys = bands(*shingles([w for *_, w in found])).view(np.int64)
                 yield {
-                    "doc_id": ids, "pos": [k for k, _ in found], "n_words": [len(w) for _, w in found], "ph": [xxhash.xxh3_128_digest(b" ".join(w)) for _, w in found],
+                    "doc_id": ids, "pos": [k for k, *_ in found], "at": [at for _, at, _ in found], "n_words": [len(w) for *_, w in found], "ph": [xxhash.xxh3_128_digest(b" ".join(w)) for *_, w in found],
                     "bands": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())}
 
     return map_batches(documents(docs, id_col, text_col), run, _UNITS)
@@ -122,11 +168,11 @@ def _contents(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     """(ph, shingles binary) of the paragraphs (doc_id, places) wanted, one occurrence each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             hashes, sets = [], []
             for text, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 asked = {*places}
-                for k, w in split(text.as_py()):
+                for k, _, w in split(text.as_py()):
                     if k in asked:
                         hashes.append(xxhash.xxh3_128_digest(b" ".join(w)))
                         sets.append(np.unique(shingles([w])[0]).tobytes())
@@ -163,40 +209,163 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     return members.groupBy("band", "key", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
+def _seed_hash(words: list[bytes], at: int) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words[at : at + SEED])) - (1 << 63)
+
+
+def _words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, class_doc): words that repeat a passage of an earlier document; spans may overlap."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in _pieces(batches):
+            texts = [_words_of(t.as_py()) for t in batch.column(1)]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            words = [w for t in texts for w in t]
+            own = seeds(word_hashes(words), sizes)
+            ends = np.cumsum(sizes)
+            text = np.searchsorted(ends, own, "right")
+            yield {"doc_id": batch.column(0).take(pa.array(text)), "at": own - (ends - sizes)[text], "h": [_seed_hash(words, a) for a in own.tolist()]}
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in _pieces(batches):
+            ids, starts, firsts, hashes, before, after = [], [], [], [], [], []
+            for i, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = _words_of(t.as_py())
+                word = word_hashes(words).astype(np.uint32)
+                for a, first in [(x["at"], x["first"]) for x in wanted if x["at"] + SEED <= len(words)]:
+                    ids.append(i)
+                    starts.append(a)
+                    firsts.append(first)
+                    hashes.append(_seed_hash(words, a))
+                    before.append(word[max(0, a - PASSAGE + SEED) : a][::-1].tobytes())
+                    after.append(word[a + SEED : a + PASSAGE].tobytes())
+            yield {"doc_id": ids, "at": starts, "first": firsts, "h": hashes, "before": before, "after": after}
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out = {"doc_id": [], "start": [], "end": [], "class_doc": []}
+            for i, at, b, a, lead, lead_b, lead_a in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                back, on = [_alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in ((b, lead_b), (a, lead_a))]
+                if back + SEED + on >= PASSAGE:
+                    for column, value in zip(out.values(), (i, at - back, at + SEED + on, lead), strict=True):
+                        column.append(value)
+            yield out
+
+    texts = documents(docs, id_col, text_col).filter("doc_id is not null")
+    found = stage(map_batches(texts, pick, "doc_id long, at int, h long"), "passage-seeds")
+    again = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.max("doc_id").alias("high")).filter("lead.doc_id < high").select("h", "lead")
+    wanted = found.join(again.hint("merge"), "h").filter("doc_id <> lead.doc_id or at = lead.at").groupBy("doc_id").agg(F.collect_set(F.struct("at", (F.col("doc_id") == F.col("lead.doc_id")).alias("first"))).alias("wanted"))
+    texts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
+    near = stage(map_batches(texts, around, "doc_id long, at int, first boolean, h long, before binary, after binary"), "passage-surroundings")
+    lead = near.filter("first").groupBy("h").agg(F.first(F.struct("doc_id", "before", "after")).alias("lead"))
+    rows = near.filter("not first").join(lead.hint("merge"), "h").select("doc_id", "at", "before", "after", F.col("lead.doc_id").alias("class_doc"), F.col("lead.before").alias("lead_before"), F.col("lead.after").alias("lead_after"))
+    return map_batches(rows, extend, "doc_id long, start int, end int, class_doc long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """Equal words at the beginning of both."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, end) in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def rest(spans: list[tuple[int, int]], lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What merged spans have outside merged lines, in pieces of ``WIDTH`` words or more."""
+    out = []
+    for start, end in spans:
+        for a, b in [x for x in lines if x[0] < end and x[1] > start] + [(end, end)]:
+            if a - start >= WIDTH:
+                out.append((start, a))
+            start = max(start, b)
+    return out
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, pos, class_doc, class_pos): paragraphs that repeat an earlier one, and the staged ``units``."""
+    """(doc_id, lines, removed, spans, words, class_docs): what repeats something earlier, a row for each document that has it, and the staged
+    ``units``.  ``removed`` are positions of lines, ``spans`` what passages have outside them as (start, end) in words, ``words`` those in either."""
     found = stage(units(docs, id_col, text_col).filter("doc_id is not null"), "paragraph-units")
     group = star_components(links(docs, found, id_col, text_col), "paragraph-links").withColumnRenamed("node", "ph")
     exact = found.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     exact = exact.join(group.hint("merge"), "ph", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "ph"))
     lead = exact.groupBy("component").agg(F.min("first").alias("lead"))
     known = stage(exact.join(lead, "component").select("ph", "lead"), "paragraph-leads")
-    again = found.select("doc_id", "pos", "n_words", "ph").join(known.hint("merge"), "ph").filter(F.struct("doc_id", "pos") != F.col("lead"))
-    return again.select("doc_id", "pos", "n_words", F.col("lead.doc_id").alias("class_doc"), F.col("lead.pos").alias("class_pos")).distinct(), found
+    again = found.select("doc_id", "pos", "at", "n_words", "ph").join(known.hint("merge"), "ph").filter(F.struct("doc_id", "pos") != F.col("lead"))
+    again = again.select("doc_id", "pos", F.col("at").alias("start"), (F.col("at") + F.col("n_words")).alias("end"), F.col("lead.doc_id").alias("class_doc")).distinct()
+    both = again.unionByName(passages(docs, id_col, text_col).withColumn("pos", F.lit(None).cast("int")))
+    span, line = F.struct("start", "end"), F.col("pos").isNotNull()
+    gone = both.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list("pos")).alias("removed"), F.collect_list(F.when(line, span)).alias("lines"), F.collect_list(F.when(~line, span)).alias("spans"), F.array_sort(F.collect_set("class_doc")).alias("class_docs"))
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out = {"doc_id": batch.column(0), "removed": batch.column(1), "spans": [], "words": [], "class_docs": batch.column(4)}
+            for lines, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                lines, spans = (merged([(x["start"], x["end"]) for x in part]) for part in (lines, spans))
+                spans = rest(spans, lines)
+                out["spans"].append([{"start": a, "end": b} for a, b in spans])
+                out["words"].append(sum(b - a for a, b in lines + spans))
+            yield out
+
+    return map_batches(gone, put_together, "doc_id long, removed array<int>, spans array<struct<start: int, end: int>>, words long, class_docs array<long>"), found
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_paragraphs, n_compared, n_removed, words_removed, removed, class_docs.
-
-    ``removed`` lists the positions of lines that go, ``class_docs`` the documents that hold the ones kept.  Lines of fewer than
-    ``WIDTH`` words, null and empty texts have nothing to remove.  Rows that share a doc_id are one document; a row without one is left
-    alone and not compared."""
-    again, found = removals(docs, id_col, text_col)
-    gone = again.groupBy("doc_id").agg(
-        F.count("*").alias("n_removed"), F.sum("n_words").cast("long").alias("words_removed"), F.array_sort(F.collect_list("pos")).alias("removed"), F.array_sort(F.collect_set("class_doc")).alias("class_docs"))
+    """A row for each row of ``docs``: doc_id, n_paragraphs, n_compared, n_removed, words_removed, removed, class_docs, passages.
+
+    ``removed`` lists the positions of lines that go, ``passages`` the words (start:end, counted over the text) that repeat ``PASSAGE`` words or
+    more of an earlier document and stand outside those lines, in pieces of ``WIDTH`` words or more; ``words_removed`` counts both, ``class_docs``
+    are the documents that hold what is kept.  Lines of fewer than ``WIDTH`` words go only as part of such a piece; null and empty texts
+    have nothing to remove.  A passage that only its own document repeats stays.  Rows that share a doc_id are one document; a row without one is left alone and not
+    compared."""
+    gone, found = removals(docs, id_col, text_col)
     compared = found.select("doc_id", "pos", "ph").groupBy("doc_id").agg(F.count("*").alias("n_compared"))
     rows = documents(docs, id_col, text_col).select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_paragraphs"))
     rows = rows.join(compared.hint("merge"), "doc_id", "left").join(gone.hint("merge"), "doc_id", "left")
-    none = F.coalesce(F.col("n_removed"), F.lit(0)).cast("long")
+    none = F.coalesce(F.size("removed"), F.lit(0))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return rows.select(
-        "doc_id", "n_paragraphs", F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"), none.alias("n_removed"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"),
-        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.coalesce("class_docs", F.expr("cast(array() as array<bigint>)")).alias("class_docs"))
+        "doc_id", "n_paragraphs", F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"), F.greatest(none, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("words", F.lit(0)).cast("long").alias("words_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.coalesce("class_docs", F.expr("cast(array() as array<bigint>)")).alias("class_docs"), F.coalesce(F.array_join(spans, ","), F.lit("")).alias("passages"))
+
+
+_WORD = re.compile(rb"\S+")
+
+
+def cut(text: str | None, removed: list[int] | None, spans: list[tuple[int, int]] | None) -> str | None:
+    """The text without the lines ``removed`` and the words in ``spans``; lines of which nothing is left go as a whole."""
+    if text is None or removed is None:
+        return text
+    gone, out, at = {*removed}, [], 0
+    for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        words = [m.start() for m in _WORD.finditer(line)]
+        inside = [(max(a - at, 0), min(b - at, len(words))) for a, b in spans if a < at + len(words) and b > at]
+        at += len(words)
+        if k in gone or inside == [(0, len(words))]:
+            continue
+        for a, b in reversed(inside):
+            line = line[: words[a]] + line[words[b] :] if b < len(words) else line[: words[a]].rstrip()
+        out.append(line)
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated paragraphs cut out of the text, other columns as they are."""
-    again, _ = removals(docs, id_col, text_col)
-    gone = again.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    """``docs`` with repeated paragraphs and passages cut out of the text, other columns as they are."""
+    gone, _ = removals(docs, id_col, text_col)
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__gone"), F.col("spans").alias("__spans"))
     rows = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__doc", "__gone")
+    return rows.withColumn(text_col, F.udf(cut, "string", useArrow=False)(F.col(text_col), "__gone", "__spans")).drop("__doc", "__gone", "__spans")

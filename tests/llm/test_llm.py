@@ -353,6 +353,24 @@ def test_paragraph_dedup(spark):
     assert paragraphs.report(frame(spark, ["a b c d e", "a b c d e", None], [1, 1, None])).count() == 3
 
 
+def test_passages_inside_different_lines(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    run, near = words(57), words(49)
+    whole, across = words(40) + run + words(43), words(30) + run
+    texts = [" ".join(run), " ".join(whole).upper(), " ".join(across[:50]) + "\nx\n" + " ".join(across[50:]), " ".join(words(60) + near), " ".join(near + words(60)), "\n".join(" ".join(run[i : i + 3]) for i in range(0, 57, 3))]
+    got = {r.doc_id: r for r in paragraphs.report(frame(spark, texts)).collect()}
+    assert [got[i].words_removed for i in range(6)] == [0, 57, 0, 0, 0, 57] and got[1].passages == "40:97" and got[1].class_docs == [0]
+    kept = {r.doc_id: r.text for r in paragraphs.deduplicate(frame(spark, texts)).collect()}
+    assert kept[1] == " ".join(whole[:40] + whole[97:]).upper() and kept[5] == "" and all(kept[i] == texts[i] for i in (0, 2, 3, 4))
+    # Every run that is long enough picks a window that its copies pick too.
+    for n in range(50, 60):
+        own = paragraphs.word_hashes([w.encode() for w in words(n)])
+        for before, after in ((0, 0), (13, 31), (70, 4)):
+            inside = paragraphs.seeds(np.r_[rng.getrandbits(60) + np.arange(before, dtype=np.uint64), own, rng.getrandbits(60) + np.arange(after, dtype=np.uint64)]) - before
+            assert {*paragraphs.seeds(own)} <= {*inside}
+
+
 def test_paragraph_links_connect_what_all_pairs_would():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 40, 40).astype(np.uint64)
