@@ -1,6 +1,7 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
+"""Document fingerprints: a Merkle tree over sections, paragraphs, clauses and words.
 
-Leaves are the clauses of a paragraph (cut after punctuation, so an edit moves no other border); a section ends at a blank line or after a
+Clauses are cut after punctuation, so an edit moves no other border; their hash is that of their text.  The leaves below, opened only where
+clauses differ, are words, each hashed with the two before it in its clause, so a text of any length is compared by the same rule; a section ends at a blank line or after a
 paragraph whose hash says so, which again depends on that paragraph alone.  Equal roots mean equal texts.  Where roots differ, the
 walk goes down only into branches without an equal partner and finds the edited leaves."""
 
@@ -23,39 +24,44 @@ from .common import documents, map_batches
 CLAUSE = re.compile(r"[^.,;:!?]+[.,;:!?]*\s*|[.,;:!?]+\s*")
 #: A clause without punctuation is cut after so many characters.
 LEAF_CHARS = 160
-#: Documents below so many characters have words as leaves.
 WORD = re.compile(r"\S+\s*|\s+")
-SHORT_CHARS = 320
 #: A section ends after a paragraph whose first hash byte is below this: one in eight.
 SECTION_BYTE = 32
 
 
 @dataclass(slots=True)
 class Node:
-    """A branch: hash, characters below it, children (none for a leaf)."""
+    """A branch: hash, characters below it, children (none for a leaf; those of a clause follow from its text)."""
 
     hash: bytes
     chars: int
     children: list[Node] | None = None
+    text: str | None = None
+
+    def below(self) -> list[Node] | None:
+        if self.children is None and self.text is not None:
+            words = WORD.findall(self.text)
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            self.children = [Node(blake2b(b"\0".join(raw[max(0, i - 2) : i + 1]), digest_size=16).digest(), len(w)) for i, w in enumerate(words)]
+        return self.children
 
 
 def _branch(level: bytes, children: list[Node]) -> Node:
     return Node(blake2b(level + b"".join([c.hash for c in children]), digest_size=16).digest(), sum([c.chars for c in children]), children)
 
 
-def _paragraph(text: str, leaf: re.Pattern) -> Node:
-    parts = leaf.findall(text)
+def _paragraph(text: str) -> Node:
+    parts = CLAUSE.findall(text)
     if len(text) > LEAF_CHARS:
         parts = [p[i : i + LEAF_CHARS] for p in parts for i in range(0, len(p), LEAF_CHARS)]
-    return _branch(b"P", [Node(blake2b(b"L" + p.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(p)) for p in parts])
+    return _branch(b"P", [Node(blake2b(b"L" + p.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(p), text=p) for p in parts])
 
 
 def tree(text: str) -> Node:
-    """Root over sections over paragraphs (lines) over clauses; the empty text has one empty paragraph."""
+    """Root over sections over paragraphs (lines) over clauses over words; the empty text has one empty paragraph."""
     sections, open_section = [], []
-    leaf = WORD if len(text) < SHORT_CHARS else CLAUSE
     for line in text.split("\n"):
-        paragraph = _paragraph(line, leaf)
+        paragraph = _paragraph(line)
         open_section.append(paragraph)
         if not line.strip() or paragraph.hash[0] < SECTION_BYTE:
             sections.append(_branch(b"S", open_section))
@@ -83,15 +89,21 @@ def _apart(nodes: list[Node], others: list[Node]) -> tuple[int, list[Node], list
     return same, mine, rest[::-1]
 
 
+def _differing(a: Node, b: Node) -> tuple[int, list[Node], list[Node]]:
+    """Common characters and the nodes left over where the walk ends."""
+    same, xs, ys = 0, [a], [b]
+    while xs and ys and xs[0].below() is not None:
+        found, xs, ys = _apart([c for x in xs for c in x.below()], [c for y in ys for c in y.below()])
+        same += found
+    return same, xs, ys
+
+
 def compare(a: Node, b: Node) -> tuple[int, list[Node], list[Node]]:
     """Common characters and the leaves that only one of two trees has, reached through differing branches."""
     if a.hash == b.hash:
         return a.chars, [], []
-    same, xs, ys = 0, [a], [b]
-    while xs and ys and (xs[0].children or ys[0].children):
-        found, xs, ys = _apart([c for x in xs for c in x.children], [c for y in ys for c in y.children])
-        same += found
-    down = lambda nodes: nodes if not nodes or nodes[0].children is None else down([c for n in nodes for c in n.children])
+    same, xs, ys = _differing(a, b)
+    down = lambda nodes: nodes if not nodes or nodes[0].below() is None else down([c for n in nodes for c in n.below()])
     return same, down(xs), down(ys)
 
 
@@ -100,7 +112,7 @@ def likeness(a: Node, b: Node) -> float:
     if a.hash == b.hash:
         return 1.0
     total = a.chars + b.chars
-    return min(2 * compare(a, b)[0] / total, 1 - 1 / (total + 1)) if total else 0.0
+    return min(2 * _differing(a, b)[0] / total, 1 - 1 / (total + 1)) if total else 0.0
 
 
 def edited(text: str, following: str) -> str:

@@ -88,6 +88,17 @@ def test_merkle_tree(spark):
     assert 0.8 < merkle.likeness(a, b) < 1 and len(merkle.compare(a, b)[1]) == 1
 
 
+def test_merkle_likeness_across_lengths():
+    rng = random.Random(2)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)).capitalize() + ". "
+    text, other = "".join(sentence(12) for _ in range(5))[:332], "".join(sentence(12) for _ in range(5))[:332]
+    near = lambda a, b: merkle.likeness(merkle.tree(a), merkle.tree(b))
+    assert all(near(text, text[:n]) > 2 * (n - 20) / (332 + n) for n in (315, 319, 320, 325)) and near(text, other) < 0.05
+    edited = merkle.edited(text + "x" * 30, "short")
+    assert len(edited) < 320 < len(text) and near(text + "x" * 30, edited) > 0.75
+    assert near(text, text * 4) > 0.35 and near(text[:200], text[:200] + other) > 0.5
+
+
 def test_merkle_ties_and_few_rows(spark):
     assert merkle.edit_comparison(frame(spark, [])).count() == 0
     one = merkle.edit_comparison(frame(spark, ["abcdefgh"])).first()
