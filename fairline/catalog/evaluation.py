@@ -465,14 +465,14 @@ CELLS_SQL = """, cl AS (SELECT *, CASE WHEN mp >= 0.75e0 THEN 7 WHEN mp >= 0.70e
 
 @query(
     "s6_rule_intervals",
-    EDGE_SQL + GRID_SQL + CELLS_SQL + ", " + weights_sql("cl", "profit", "c, e, g, pick, x0,", 25, 20260725) + """,
+    EDGE_SQL + GRID_SQL + CELLS_SQL + ", " + weights_sql("cl", "profit", "c, e, g, pick, x0,", 1000, 20260725) + """,
  cb AS (SELECT c, e, g, pick, x0, b, sum(w) AS sw, sum(w * x) AS sx FROM we GROUP BY ALL),
  rb AS (SELECT rule_id, b, sum(sx) / nullif(sum(sw), 0) AS m FROM (SELECT *, rule_id // 320 AS ci, (rule_id // 40) % 8 AS ei, (rule_id // 8) % 5 AS gi FROM ru) r JOIN cb ON c >= ci AND e >= ei AND g >= gi AND contains(picks, pick) AND x0 >= xi GROUP BY ALL)
  SELECT rule_id, r4(quantile_cont(m, 0.025)) AS discovery_ci_low, r4(quantile_cont(m, 0.975)) AS discovery_ci_high FROM rb GROUP BY rule_id""",
 )
 def s6(spark, sf):
     discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
-    return r6s(st.rule_intervals(discovery, 25, key=int_key()), ["discovery_ci_low", "discovery_ci_high"], 4)
+    return r6s(st.rule_intervals(discovery, key=int_key()), ["discovery_ci_low", "discovery_ci_high"], 4)
 
 
 HELD = "hb AS (SELECT 'holdout' AS period, * FROM ho WHERE mp >= 0.45e0 AND edge >= 0.02e0 AND pick IN ('H', 'A') UNION ALL SELECT 'discovery', * FROM di WHERE mp >= 0.45e0 AND edge >= 0.02e0 AND pick IN ('H', 'A'))"

@@ -7,6 +7,7 @@ from oracle import compare, connect
 
 from fairline.catalog import ORACLES, QUERIES
 from fairline.catalog import jobs as job_queries
+from fairline.operators import strategy
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
@@ -23,3 +24,11 @@ def test_cutoff_snapshot_has_all_bookmakers_and_matches(spark, monkeypatch):
     monkeypatch.setattr(job_queries.jobs, "cutoff_snapshot_with_manifest", lambda *a: seen.append(rows(*a)) or seen[0])
     QUERIES["p11_cutoff_manifest"](spark, DATA)
     assert {r[0] for r in seen[0]["rows"].select("bookmaker").distinct().collect()} == books
+
+
+def test_rule_intervals_draw_a_thousand_resamples(spark, monkeypatch):
+    drawn = []
+    sums = strategy.resampled_sums
+    monkeypatch.setattr(strategy, "resampled_sums", lambda *a: drawn.append(a[3]) or sums(*a))
+    QUERIES["s6_rule_intervals"](spark, DATA)
+    assert drawn == [1000] and "range(1000)" in ORACLES["s6_rule_intervals"]
