@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import bpe, chat, ctw, merkle, paragraphs, phrases, quality, repeats, resampling, secrets, simhash
+from . import bpe, chat, ctw, merkle, paragraphs, phrases, phrasing, quality, repeats, resampling, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,41 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_COLLOCATION_SQL = r"""
+WITH t AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM t
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1
+), g AS (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM p, (SELECT unnest(range(1, 5)) AS size) WHERE len(w) >= size
+), f AS (
+    SELECT lang, array_to_string(w[s : s + size - 1], ' ') AS phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2
+), cut AS (
+    SELECT *, unnest(range(1, size)) AS k FROM c
+), s AS (
+    SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a) // (x.a + y.a) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1 : k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[k + 1 :], ' ')
+), best AS (
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), part AS (
+    SELECT lang, w, a, size, short, unnest(range(1, size - short + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS short) WHERE short < size
+), cover AS (
+    SELECT lang, array_to_string(w[s : s + short - 1], ' ') AS phrase, max(a) AS most FROM part GROUP BY 1, 2
+), kept AS (
+    SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _COLLOCATION_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrasing.collocations(table(spark, sf_dir, "documents")).drop("doc_id", "start")
