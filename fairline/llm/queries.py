@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import bpe, chat, ctw, merkle, paragraphs, phrases, phrasing, quality, repeats, resampling, secrets, simhash
+from . import bpe, chat, ctw, jaccard, merkle, paragraphs, phrases, phrasing, quality, repeats, resampling, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,8 @@ FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 @query("op11_phrase_collocations", _COLLOCATION_SQL)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrasing.collocations(table(spark, sf_dir, "documents")).drop("doc_id", "start")
+
+
+@query("op13_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
