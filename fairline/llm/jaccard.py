@@ -4,7 +4,7 @@ Equal sets are one node.  Tokens have one global order, rare ones first; two set
 ones.  Sets with equal min-hashes are compared with two leaders each, and what links forms the groups, so a group is connected without pairs
 inside it; any other set is a group of its own.  The matrix holds, for each token, the groups whose sets have it among their first tokens.  A set
 is a query against the groups of at least its own group's size: shared and missing tokens bound its overlap with every set of a group, groups below the bound
-stay closed, and inside an opened one the same bound is taken for each set before sets are compared token by token."""
+stay closed.  Of an opened group the leader is compared first, then, where that does not link, every set within the same bound."""
 
 from __future__ import annotations
 
@@ -156,10 +156,17 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
+def _central() -> Column:
+    """Orders sets by how common their tokens are: of near copies the one without edits comes last."""
+    return F.struct("mid", "rare", "key", "n")
+
+
 def leader_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each set with the least and the greatest key of those that share a min-hash."""
-    rows = nodes.select("key", "n", F.posexplode("mins").alias("k", "m"))
-    ends = rows.groupBy("k", "m").agg(F.min(F.struct("key", "n")).alias("lo"), F.max(F.struct("key", "n")).alias("hi")).filter("lo.key < hi.key")
+    """(a, b): each set with two leaders among those that share a min-hash: the one whose tokens are the most common, and the one whose
+    rarest token is the most common.  Edits bring rare tokens, so an original leads its near copies."""
+    rows = nodes.select("key", "n", "rare", "mid", F.posexplode("mins").alias("k", "m"))
+    ends = rows.groupBy("k", "m").agg(F.max(_central()).alias("lo"), F.max(F.struct("rare", "mid", "key", "n")).alias("hi"), F.min("key").alias("first"), F.max("key").alias("last"))
+    ends = ends.filter("first < last").select("k", "m", F.struct("lo.key", "lo.n").alias("lo"), F.struct("hi.key", "hi.n").alias("hi"))
     rows = rows.join(ends, ["k", "m"]).select("key", "n", F.explode(F.array("lo", "hi")).alias("b"))
     return rows.filter((F.col("key") != F.col("b.key")) & _near_size(F.col("n"), F.col("b.n"), percent)).select(F.least("key", "b.key").alias("a"), F.greatest("key", "b.key").alias("b")).distinct()
 
@@ -179,20 +186,20 @@ def shared_tokens(firsts: DataFrame, hot: int) -> DataFrame:
 
 
 def open_groups(tokens: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(q, g): the groups that a set may link into; ``groups`` has (g, members, n_min, n_max, end_min)."""
+    """(q, g, members, leader): the groups that a set may link into; ``groups`` has (g, members, n_min, n_max, end_min, leader)."""
     facts = groups.withColumnRenamed("g", "own").select("own", F.col("members").alias("own_members"))
     asks = tokens.join(nodes.select("key", "n", "end"), "key").withColumnRenamed("g", "own").join(facts, "own")
     matrix = tokens.select("o", "g").distinct().join(groups, "g")
     size = (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_min") * percent)
     later = F.struct("own_members", "own") < F.struct("members", "g")
     inside = F.col("o") <= F.col("end_min")
-    rows = asks.join(matrix, "o").filter(size & later).groupBy("key", "g", "n", "end", "members", "n_min", "end_min").agg(
+    rows = asks.join(matrix, "o").filter(size & later).groupBy("key", "g", "n", "end", "members", "n_min", "end_min", "leader").agg(
         F.count("*").alias("c"), F.count_if(inside).alias("c_in"), F.coalesce(F.max(F.when(inside, F.col("pos"))), F.lit(-1)).alias("last"))
     n, first = F.col("n"), _first_size(F.col("n"), percent)
     seen = F.when(F.col("end_min") >= F.col("end"), first).otherwise(F.col("last") + 1)
     alone = F.when((F.col("members") == 1) & (F.col("end") >= F.col("end_min")), F.col("n_min") - _first_size(F.col("n_min"), percent) + F.col("c")).otherwise(n)
     least = _least_overlap(n, F.greatest(F.col("n_min"), F.ceil(n * percent / 100)), percent)
-    return rows.filter(F.least(n - seen + F.col("c_in"), alone) >= least).select(F.col("key").alias("q"), "g", "members")
+    return rows.filter(F.least(n - seen + F.col("c_in"), alone) >= least).select(F.col("key").alias("q"), "g", "members", "leader")
 
 
 def open_sets(opened: DataFrame, tokens: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,6 +215,13 @@ def open_sets(opened: DataFrame, tokens: DataFrame, nodes: DataFrame, percent: i
     return rows.filter(_near_size(n, m, percent) & (most >= _least_overlap(n, m, percent))).select(F.col("q").alias("a"), F.col("key").alias("b"))
 
 
+def _between(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the groups of linked keys."""
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("key").alias(end), F.col("g").alias(f"g{end}")), end)
+    return links.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, h, n_shingles, key, component_id): a row for each row of ``docs``.
 
@@ -221,19 +235,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(signatures(texts, order, width, percent), "jaccard-signatures")
     full = rows.filter("n > 0")
     first = F.min(F.struct("doc_id", "h")).alias("first")
-    nodes = full.groupBy("key").agg(first, F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.max(F.element_at("firsts", -1)).alias("end"))
-    nodes = stage(nodes.select("key", F.col("first.doc_id").alias("first_id"), "first.h", "least_id", "n", "mins", "end"), "jaccard-nodes")
+    nodes = full.groupBy("key").agg(
+        first, F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"),
+        F.max(F.element_at("firsts", -1)).alias("end"), F.max(F.element_at("firsts", 1)).alias("rare"), F.max(F.expr("firsts[size(firsts) div 2]")).alias("mid"))
+    nodes = stage(nodes.select("key", F.col("first.doc_id").alias("first_id"), "first.h", "least_id", "n", "mins", "end", "rare", "mid"), "jaccard-nodes")
     led = star_components(_linked(leader_pairs(nodes, percent), nodes, texts, order, width, percent), "jaccard-led").select(F.col("node").alias("key"), F.col("component").alias("g"))
     grouped = stage(nodes.drop("mins").join(led, "key", "left").withColumn("g", F.coalesce("g", "key")), "jaccard-grouped")
-    groups = stage(grouped.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("end").alias("end_min")), "jaccard-groups")
+    groups = stage(grouped.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("end").alias("end_min"), F.max(_central())["key"].alias("leader")), "jaccard-groups")
     firsts = full.groupBy("key").agg(F.any_value("firsts").alias("firsts")).join(grouped.select("key", "g"), "key")
     tokens = stage(shared_tokens(firsts, hot), "jaccard-matrix")
     opened = stage(open_groups(tokens, grouped, groups, percent), "jaccard-opened")
-    pairs = stage(open_sets(opened, tokens, grouped, percent), "jaccard-pairs")
-    found = _linked(pairs, grouped, texts, order, width, percent)
-    side = lambda name: grouped.select(F.col("key").alias(name), F.col("g").alias(f"g{name}"))
-    between = found.join(side("a"), "a").join(side("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    whole = star_components(between, "jaccard-components").select(F.col("node").alias("g"), "component")
+    # A group's leader first: who links with it needs no other set of the group, and a group of one is done.
+    found = _between(_linked(opened.select(F.col("q").alias("a"), F.col("leader").alias("b")).distinct(), grouped, texts, order, width, percent), grouped)
+    whole = stage(star_components(found, "jaccard-components").select(F.col("node").alias("g"), "component"), "jaccard-merged")
+    rest = opened.filter("members > 1").join(grouped.select(F.col("key").alias("q"), F.col("g").alias("own")), "q")
+    for side in ("own", "g"):
+        rest = rest.join(whole.select(F.col("g").alias(side), F.col("component").alias(f"{side}_component")), side, "left")
+    apart = F.coalesce("own_component", "own") != F.coalesce("g_component", "g")
+    pairs = stage(open_sets(stage(rest.filter(apart).select("q", "g"), "jaccard-rest"), tokens, grouped, percent), "jaccard-pairs")
+    found = found.unionByName(_between(_linked(pairs, grouped, texts, order, width, percent), grouped))
+    whole = star_components(found, "jaccard-components").select(F.col("node").alias("g"), "component")
     named = grouped.join(whole, "g", "left").withColumn("component", F.coalesce("component", "g"))
     owner = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = stage(named.join(owner, "component").select("key", "component_id"), "jaccard-named")
