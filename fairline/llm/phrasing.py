@@ -30,8 +30,8 @@ PIECE = 1 << 20
 HELD = 1 << 22
 #: Bits of the bitmap of frequent fingerprints, 2^26: 8 MB whatever the corpus.  A full one only lets more runs through.
 BITS = 26
-#: Phrases a task holds before it hands them over.
-TOLD = 1 << 19
+#: Bytes of text whose phrases are counted together in the last pass.
+TEXT = 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -65,10 +65,10 @@ class _Taken:
         return hashing.mix(self.runs.values(first, size) ^ self.seed[first])
 
 
-def _taken(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, _Taken]]:
+def _taken(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, _Taken]]:
     """(first row, byte in it, offsets, words) of the chunks of a batch (text, lang seed, ...)."""
     seeds = batch.column(1).to_numpy().view(np.uint64)
-    for row, at, data, offsets in hashing.chunks(batch.column(0), PIECE, _ENDS):
+    for row, at, data, offsets in hashing.chunks(batch.column(0), size, _ENDS):
         yield row, at, offsets, _Taken(data, offsets, seeds[row : row + len(offsets) - 1])
 
 
@@ -100,7 +100,7 @@ def fingerprint_counts(texts: DataFrame, sizes: tuple[int, ...], bitmap: Broadca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, size = [], 0
         for batch in batches:
-            for *_, taken in _taken(batch):
+            for *_, taken in _taken(batch, PIECE):
                 for words in sizes:
                     held.append(_admitted(taken, words, bitmap, mask)[1])
                     size += len(held[-1])
@@ -128,34 +128,28 @@ def frequent_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bitmap = spark.sparkContext.broadcast(hashing.bitmap(kept, "fp", BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: dict[tuple, list] = {}
         for batch in batches:
-            langs, ids = batch.column(2), batch.column(3)
-            for row, at, offsets, taken in _taken(batch):
-                words = _words(taken)
+            for row, at, offsets, taken in _taken(batch, TEXT):
+                words, ids = _words(taken)
+                langs, owners = batch.column(2).slice(row, len(offsets) - 1), batch.column(3).slice(row, len(offsets) - 1)
+                base = np.append(at, -offsets[1:-1])
                 for size in range(1, width + 1):
                     first, values = _admitted(taken, size, bitmap, mask)
                     may = hashing.in_bitmap(bitmap.value, values)
-                    for i, n in _counted(first[may], values[may], words[1], taken.seed, size):
-                        place = int(taken.row[i])
-                        key = (langs[row + place].as_py(), b" ".join(words[0][i : i + size]), size)
-                        if key in held:
-                            held[key][0] += n
-                        else:
-                            start = int(taken.starts[i] - offsets[place]) + (at if place == 0 else 0)
-                            held[key] = [n, ids[row + place].as_py(), start]
-                for place, n in zip(*np.unique(taken.row, return_counts=True)):
-                    held.setdefault((langs[row + int(place)].as_py(), b"", 0), [0, None, None])[0] += int(n)
-                if len(held) > TOLD:
-                    yield _told(held)
-                    held = {}
-        if held:
-            yield _told(held)
+                    first, n = _counted(first[may], values[may], ids, taken.seed, size)
+                    text = [words[i] for i in first.tolist()] if size == 1 else [b" ".join(words[i : i + size]) for i in first.tolist()]
+                    place = taken.row[first]
+                    yield {
+                        "lang": langs.take(pa.array(place)), "phrase": pa.array(text, pa.binary()).cast(pa.string()), "words": np.full(len(first), size), "n": n,
+                        "doc_id": owners.take(pa.array(place)), "start": taken.starts[first] + base[place]}
+                place, n = np.unique(taken.row, return_counts=True)
+                none = [None] * len(place)
+                yield {"lang": langs.take(pa.array(place)), "phrase": [""] * len(place), "words": np.zeros(len(place), int), "n": n, "doc_id": none, "start": none}
 
     rows = map_batches(texts, run, "lang string, phrase string, words int, n long, doc_id long, start long")
-    pointer = F.min(F.struct("doc_id", "start")).alias("at")
-    rows = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), pointer).filter((F.col("n") >= least) | (F.col("words") == 0))
-    return rows.select("lang", "phrase", "words", "n", "at.doc_id", "at.start")
+    # Both parts of the pointer come from the same row.
+    rows = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"))
+    return rows.filter((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def _words(taken: _Taken) -> tuple[list[bytes], np.ndarray]:
@@ -166,24 +160,15 @@ def _words(taken: _Taken) -> tuple[list[bytes], np.ndarray]:
     return words, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
 
 
-def _counted(first: np.ndarray, values: np.ndarray, words: np.ndarray, seed: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """(first word, n) of runs: those of equal fingerprint, language and words are counted together."""
+def _counted(first: np.ndarray, values: np.ndarray, words: np.ndarray, seed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, counts) of runs: those of equal fingerprint, language and words are counted together."""
     _, lead, group, n = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
     leader = first[lead][group]
     same = seed[first] == seed[leader]
     for k in range(size):
         same &= words[first + k] == words[leader + k]
-    if not same.all():
-        n = np.bincount(group[same], minlength=len(lead))
-        yield from ((i, 1) for i in first[~same].tolist())
-    yield from zip(first[lead].tolist(), n.tolist())
-
-
-def _told(held: dict[tuple, list]) -> dict:
-    keys, rest = list(held), list(held.values())
-    return {
-        "lang": [k[0] for k in keys], "phrase": [k[1].decode("utf-8", "replace") for k in keys], "words": [k[2] for k in keys],
-        "n": [r[0] for r in rest], "doc_id": [r[1] for r in rest], "start": [r[2] for r in rest]}
+    other = first[~same]
+    return np.append(first[lead], other), np.append(n if not len(other) else np.bincount(group[same], minlength=len(lead)), np.ones(len(other), np.int64))
 
 
 def _part(column: str, first: Column, size: Column) -> Column:

@@ -63,7 +63,7 @@ def test_collocations_equal_definition(spark, mask):
 
 
 def test_collocations_in_small_parts(spark, monkeypatch):
-    for name, size in (("PIECE", 64), ("HELD", 100), ("TOLD", 10)):
+    for name, size in (("PIECE", 64), ("HELD", 100), ("TEXT", 70)):
         monkeypatch.setattr(phrasing, name, size)
     rows = corpus(2)
     assert found(spark, rows, 5, 2000) == brute(rows, 5, 2000)
