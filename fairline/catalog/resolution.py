@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.checks import join_checked
-from ..functions.names import compact_key, team_key, token_key
+from ..functions.names import compact_key, indel_by_places, letter_places, matching_ratio, team_key, token_key
 from ..functions.scalars import collapse_spaces, round6, uuid_from_name
 from ..functions.temporal import keep_latest
 from ..operators import players as pl
@@ -152,11 +152,39 @@ def j7(spark, sf):
     return r.reconcile_fixtures(fixtures, leagues, games, known).select("fixture_id", "status", "match_id")
 
 
-@query("j8_fuzzy_names")
+# Name keys of both sides as the views spell the clubs.
+KEYS = """ext AS (SELECT external_id, league, match_date, home_goals, away_goals, lower(substr(home_name, 4)) AS h, lower(replace(away_name, ' Calcio', '')) AS a FROM v_external),
+ can AS (SELECT match_id, league, match_date, home_goals, away_goals, lower(home_name) AS h, lower(away_name) AS a FROM v_fixture)"""
+NAMED = KEYS + """, np AS (SELECT e.external_id, c.match_id, e.h AS eh, c.h AS ch, e.a AS ea, c.a AS ca FROM ext e JOIN can c ON c.league = e.league AND c.home_goals = e.home_goals AND c.away_goals = e.away_goals
+  AND abs(date_diff('day', e.match_date, c.match_date)) <= 1), dp AS (SELECT eh AS a0, ch AS b0 FROM np UNION SELECT ea, ca FROM np)"""
+# Ratcliff-Obershelp: the longest common block, leftmost in both names, then both sides of it; ``dp`` has the pairs.
+RATIOS = """, seg AS (SELECT a0, b0, a0 AS a, b0 AS b, 0 AS got, 'x' AS path FROM dp
+  UNION ALL SELECT a0, b0, CASE side WHEN 'l' THEN substr(a, 1, i - 1) ELSE substr(a, i + size) END, CASE side WHEN 'l' THEN substr(b, 1, j - 1) ELSE substr(b, j + size) END, CASE side WHEN 'l' THEN size ELSE 0 END, path || side
+  FROM (SELECT *, instr(b, substr(a, i, size)) AS j FROM (SELECT *, best // 1000 AS size, 999 - best % 1000 AS i FROM (SELECT *, list_max(flatten(
+   [[n * 1000 + 999 - s FOR n IN range(1, length(a) - s + 2) IF contains(b, substr(a, s, n))] FOR s IN range(1, length(a) + 1)])) AS best FROM seg)) WHERE best IS NOT NULL), (VALUES ('l'), ('r')) k(side)),
+ ro AS (SELECT a0, b0, CASE WHEN a0 = '' AND b0 = '' THEN 1.0e0 ELSE 2.0e0 * sum(got) / (length(a0) + length(b0)) END AS ratio FROM seg GROUP BY a0, b0)"""
+BY_NAMES = NAMED + RATIOS + """, sc AS (SELECT external_id, match_id, x.ratio + y.ratio AS score FROM np JOIN ro x ON x.a0 = eh AND x.b0 = ch JOIN ro y ON y.a0 = ea AND y.b0 = ca),
+ tw AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS rn FROM sc WINDOW w AS (PARTITION BY external_id ORDER BY score DESC, match_id)),
+ nm AS (SELECT external_id, match_id, score FROM tw WHERE rn = 1 AND score >= 1.2e0 AND (runner_up IS NULL OR score - runner_up >= 0.2e0))"""
+
+
+@query("j8_fuzzy_names", BY_NAMES + " SELECT external_id, match_id, r6(score) AS score FROM nm")
 def j8(spark, sf):
     return r.by_similar_names(external(spark, sf), canonical(spark, sf)).select("external_id", "match_id", round6("score").alias("score"))
 
 
+@query("u1_matching_ratio", NAMED + RATIOS + " SELECT DISTINCT eh, ch, r6(ratio) AS ratio FROM np JOIN ro ON a0 = eh AND b0 = ch")
+def u1(spark, sf):
+    met = r.name_candidates(external(spark, sf), canonical(spark, sf), 0.0).select(F.col("_eh").alias("eh"), F.col("_ch").alias("ch")).distinct()
+    return met.withColumn("ratio", round6(matching_ratio("eh", "ch")))
+
+
+@query("t3_best_and_runner_up", "SELECT match_id, max(event_id) FILTER (rn = 1) AS event_id, r6(max(odds) FILTER (rn = 1)) AS odds, r6(max(odds) FILTER (rn = 2)) AS runner_up FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY odds DESC, event_id) AS rn FROM v_snap) GROUP BY match_id")
+def t3(spark, sf):
+    best = r.best_and_runner_up(view(spark, sf, "v_snap").select("match_id", "event_id", "odds"), "match_id", "odds", "event_id")
+    return best.select("match_id", "event_id", round6("odds").alias("odds"), round6("runner_up").alias("runner_up"))
+
+
 NEAR = "e.league = c.league AND e.external_home_id - 500000 = c.home_id AND e.external_away_id - 500000 = c.away_id AND abs(date_diff('day', e.match_date, c.match_date)) <= 1"
 
 
@@ -173,7 +201,29 @@ def j10(spark, sf):
     return r.by_team_date(external(spark, sf), canonical(spark, sf)).withColumn("score_differs", F.col("score_differs").cast("int"))
 
 
-@query("j11_similarity_quarantine")
+# Indel ratio by a bit-parallel longest common subsequence; ``dq`` has the pairs of names up to 62 letters.
+INDEL = KEYS + """, sp AS (SELECT c.match_id, e.external_id AS source_id, replace(c.h, ' ', '') AS ch, replace(e.h, ' ', '') AS sh, replace(c.a, ' ', '') AS ca, replace(e.a, ' ', '') AS sa
+  FROM can c JOIN ext e ON e.match_date = c.match_date AND e.home_goals = c.home_goals AND e.away_goals = c.away_goals),
+ dq AS (SELECT ch AS a0, sh AS b0 FROM sp UNION SELECT ca, sa FROM sp),
+ lc AS (SELECT a0, b0, length(a0) - bit_count(list_reduce(list_transform(string_split(b0, ''), lambda y: CAST(coalesce(list_sum([CASE WHEN a0[i + 1] = y THEN 1::BIGINT << i ELSE 0 END FOR i IN range(length(a0))]), 0) AS BIGINT)),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(a0)) - 1), (1::BIGINT << length(a0)) - 1)) AS common FROM dq),
+ si AS (SELECT a0, b0, CASE WHEN a0 = b0 THEN 100.0e0 WHEN a0 = '' OR b0 = '' THEN 0.0e0 ELSE 200.0e0 * common / (length(a0) + length(b0)) END AS s FROM lc)"""
+
+
+@query("u2_indel_ratio", INDEL + " SELECT DISTINCT ch, sh, r6(s) AS similarity FROM sp JOIN si ON a0 = ch AND b0 = sh")
+def u2(spark, sf):
+    ext = external(spark, sf).select("match_date", "home_goals", "away_goals", compact_key("home_name").alias("sh"))
+    can = canonical(spark, sf).select("match_date", "home_goals", "away_goals", compact_key("home_name").alias("ch"))
+    met = can.join(ext, ["match_date", "home_goals", "away_goals"]).select("ch", "sh").distinct()
+    return met.withColumn("similarity", round6(indel_by_places("ch", letter_places("ch"), "sh")))
+
+
+@query(
+    "j11_similarity_quarantine",
+    INDEL + """, sc AS (SELECT match_id, source_id, x.s AS hs, y.s AS as2, (x.s + y.s) / 2 AS mean FROM sp JOIN si x ON x.a0 = ch AND x.b0 = sh JOIN si y ON y.a0 = ca AND y.b0 = sa),
+ tw AS (SELECT *, coalesce(mean - lead(mean) OVER w, 100.0e0) AS margin, row_number() OVER w AS rn FROM sc WINDOW w AS (PARTITION BY match_id ORDER BY mean DESC, source_id))
+ SELECT match_id, source_id, r6(mean) AS mean_similarity, CASE WHEN mean >= 78 AND least(hs, as2) >= 65 AND margin >= 8 THEN 'accepted' WHEN mean >= 65 THEN 'quarantined' ELSE 'dropped' END AS outcome FROM tw WHERE rn = 1""",
+)
 def j11(spark, sf):
     source = external(spark, sf).select(F.col("external_id").alias("source_id"), "match_date", "home_goals", "away_goals", "home_name", "away_name")
     good, doubtful, dropped = r.reconcile_by_similarity(canonical(spark, sf), source)
@@ -191,7 +241,13 @@ def j12(spark, sf):
     return r.by_name_key(external(spark, sf), canonical(spark, sf))
 
 
-@query("j13_waterfall")
+@query(
+    "j13_waterfall",
+    J10.replace("hit AS", "h2 AS", 1) + f", h1 AS (SELECT e.external_id, min(c.match_id) AS match_id FROM v_external e JOIN v_fixture c ON {NEAR} AND e.home_goals = c.home_goals AND e.away_goals = c.away_goals GROUP BY e.external_id HAVING count(*) = 1), "
+    + BY_NAMES + """ SELECT e.external_id, coalesce(h1.match_id, h2.match_id, nm.match_id) AS match_id, CASE WHEN h1.match_id IS NOT NULL THEN 'ids_and_score' WHEN h2.match_id IS NOT NULL THEN 'ids_and_day'
+ WHEN nm.match_id IS NOT NULL THEN 'names' ELSE 'unresolved' END AS method, CASE WHEN h1.match_id IS NULL THEN coalesce(h2.score_differs, 0) ELSE 0 END AS score_differs
+ FROM v_external e LEFT JOIN h1 USING (external_id) LEFT JOIN h2 USING (external_id) LEFT JOIN nm USING (external_id)""",
+)
 def j13(spark, sf):
     out = r.resolve_waterfall(external(spark, sf), canonical(spark, sf))
     return out.withColumn("score_differs", F.col("score_differs").cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scalars import ACCENTED, UNACCENTED, as_column, fold_ascii
+from .scalars import ACCENTED, UNACCENTED, as_column, fold_ascii, indel_ratio
 
 # Noise words and aliases of the three name keys.
 TOKEN_NOISE = ("ac", "afc", "as", "cf", "fc", "calcio", "hellas")
@@ -59,6 +59,44 @@ def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def letter_tokens(name: Column | str) -> Column:
+    """Each letter with the number of its occurrence so far, so that arrays of tokens meet as multisets of letters."""
+    letters = F.filter(F.split(as_column(name), ""), lambda x: x != "")
+    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def common_letters_ratio(left_tokens: Column | str, right_tokens: Column | str) -> Column:
+    """2 * common letters / all letters, from ``letter_tokens``: never below ``matching_ratio`` nor a hundredth of ``indel_ratio``."""
+    a, b = as_column(left_tokens), as_column(right_tokens)
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+
+
+def letter_places(name: Column | str) -> Column:
+    """Map from each of the first 62 letters of a name to the bits of its places."""
+    letters = F.filter(F.split(F.substring(as_column(name), 1, 62), ""), lambda x: x != "")
+    bits = lambda x: F.aggregate(
+        F.sequence(F.lit(1), F.size(letters)), F.lit(0).cast("long"), lambda held, i: F.when(F.element_at(letters, i) == x, held + F.expr("1L") * F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(held))
+    entries = F.transform(F.array_distinct(letters), lambda x: F.struct(x.alias("letter"), bits(x).alias("places")))
+    return F.when(F.size(letters) == 0, F.expr("cast(map() as map<string, bigint>)")).otherwise(F.map_from_entries(entries))
+
+
+def indel_by_places(left: Column | str, places: Column | str, right: Column | str) -> Column:
+    """The value of ``indel_ratio``, one step of 64-bit arithmetic per letter of ``right``; ``places`` is ``letter_places(left)``.
+
+    A left name over 62 letters goes through ``indel_ratio`` itself."""
+    a, b, table = as_column(left), as_column(right), as_column(places)
+    everything = F.pow(F.lit(2.0), F.length(a)).cast("long") - 1
+
+    def step(held: Column, letter: Column) -> Column:
+        hit = held.bitwiseAND(F.coalesce(F.try_element_at(table, letter), F.lit(0)))
+        return (held + hit).bitwiseOR(held - hit).bitwiseAND(everything)
+
+    common = F.length(a) - F.bit_count(F.aggregate(F.split(b, ""), everything, step))
+    scored = F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(200.0 * common / (F.length(a) + F.length(b)))
+    return F.when(a == b, F.lit(100.0)).when(F.length(a) > 62, indel_ratio(a, b)).otherwise(scored)
+
+
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word step per letter of ``b``."""
     places: dict[str, int] = {}
@@ -80,9 +118,3 @@ def indel_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
         100.0 if a == b else 200.0 * _common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0 for a, b in zip(left, right, strict=True)
     ]
     return pd.Series(scores, dtype="float64")
-
-
-def score_name_pairs(pairs: DataFrame, left: str, right: str, name: str, similarity=matching_ratio) -> DataFrame:
-    """Add the similarity of two name columns; each distinct pair of names is compared once."""
-    distinct = pairs.select(left, right).distinct().withColumn(name, similarity(left, right))
-    return pairs.join(distinct, [left, right])

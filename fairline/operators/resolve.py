@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import compact_key, indel_similarity, score_name_pairs, team_key, token_key
+from ..functions.names import common_letters_ratio, compact_key, indel_by_places, letter_places, letter_tokens, matching_ratio, team_key, token_key
 from ..functions.scalars import natural_key_id
 from ..functions.temporal import keep_latest
 from ..session import stage
@@ -140,7 +140,9 @@ def by_team_date(external: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def best_and_runner_up(scored: DataFrame, key: str, score: str, candidate: str, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per key: best candidate, its score and the runner-up's score (NULL if alone)."""
+    """One row per key: best candidate, its score and the runner-up's score (NULL if alone).
+
+    The two best rows of a key are found in each task first and merged after the shuffle, so a key's candidates never meet as a whole."""
     order = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(candidate))
     top = scored.withColumn("_rn", F.row_number().over(order)).filter("_rn <= 2")
     fields = [score, candidate, *carry]
@@ -149,15 +151,36 @@ def best_and_runner_up(scored: DataFrame, key: str, score: str, candidate: str,
     ).select(key, *[F.col(f"_best.{f}").alias(f) for f in fields], "runner_up")
 
 
+#: Bounds and scores are sums of the same fractions in another order.
+ROUNDING = 1e-9
+
+
+def _with_names(rows: DataFrame, ids: Sequence[str], key, names: dict[str, str], places: bool = False) -> DataFrame:
+    """``ids``, the keys of the named columns and what the bounds need: made once a row, before rows meet in pairs."""
+    out = rows.select(*ids, *[key(column).alias(name) for name, column in names.items()])
+    out = out.withColumns({f"{name}_tokens": letter_tokens(name) for name in names})
+    return out.withColumns({f"{name}_places": letter_places(name) for name in names}) if places else out
+
+
+def name_candidates(external: DataFrame, canonical: DataFrame, least: float) -> DataFrame:
+    """(external_id, match_id, _eh, _ch, _ea, _ca): same league and score within one day, as far as the letters that home and away
+    names share let the two ratios sum to ``least``."""
+    block = ["league", "home_goals", "away_goals"]
+    left = _with_names(near_days(external), ["external_id", "_day", *block], team_key, {"_eh": "home_name", "_ea": "away_name"})
+    right = _with_names(canonical.withColumn("_day", F.col("match_date")), ["match_id", "_day", *block], team_key, {"_ch": "home_name", "_ca": "away_name"})
+    most = common_letters_ratio("_eh_tokens", "_ch_tokens") + common_letters_ratio("_ea_tokens", "_ca_tokens")
+    return left.join(right, [*block, "_day"]).filter(most >= least - ROUNDING).select("external_id", "match_id", "_eh", "_ch", "_ea", "_ca")
+
+
 def by_similar_names(external: DataFrame, canonical: DataFrame, threshold: float = 1.20, gap: float = 0.20) -> DataFrame:
     """Same league and score within one day, then names: accepted when the two ratios sum to the
-    threshold and lead the runner-up by the gap.  Distinct names are compared once."""
-    block = ["league", "home_goals", "away_goals"]
-    left = near_days(external).select("external_id", "_day", *block, team_key("home_name").alias("_eh"), team_key("away_name").alias("_ea"))
-    right = canonical.select("match_id", F.col("match_date").alias("_day"), *block, team_key("home_name").alias("_ch"), team_key("away_name").alias("_ca"))
-    pairs = left.join(right, [*block, "_day"])
-    scored = score_name_pairs(score_name_pairs(pairs, "_eh", "_ch", "_sh"), "_ea", "_ca", "_sa").withColumn("score", F.col("_sh") + F.col("_sa"))
-    best = best_and_runner_up(scored.select("external_id", "match_id", "score"), "external_id", "score", "match_id")
+    threshold and lead the runner-up by the gap.
+
+    A candidate that cannot reach ``threshold - gap`` is neither the answer nor a runner-up in reach of one, so it is dropped by a bound
+    before names are compared; what is accepted does not change."""
+    pairs = name_candidates(external, canonical, threshold - gap)
+    scored = pairs.select("external_id", "match_id", (matching_ratio("_eh", "_ch") + matching_ratio("_ea", "_ca")).alias("score"))
+    best = best_and_runner_up(scored, "external_id", "score", "match_id")
     accepted = (F.col("score") >= threshold) & (F.col("runner_up").isNull() | (F.col("score") - F.col("runner_up") >= gap))
     return best.filter(accepted).select("external_id", "match_id", "score")
 
@@ -179,14 +202,19 @@ def resolve_waterfall(external: DataFrame, canonical: DataFrame) -> DataFrame:
 def reconcile_by_similarity(canonical: DataFrame, source: DataFrame, accept: float = 78.0, weakest: float = 65.0, lead: float = 8.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, quarantined, dropped) best source match of the same day and score per canonical match.
 
-    Accepted: mean similarity, weaker side and lead over the runner-up all reach their bounds (a
+    Only candidates that may be among a match's best two are compared; the margin stays exact.  Accepted: mean similarity, weaker side and lead over the runner-up all reach their bounds (a
     sole candidate leads by 100).  Other best candidates from ``weakest`` up are quarantined."""
     block = ["match_date", "home_goals", "away_goals"]
-    left = canonical.select("match_id", *block, compact_key("home_name").alias("_ch"), compact_key("away_name").alias("_ca"))
-    right = source.select("source_id", *block, compact_key("home_name").alias("_sh"), compact_key("away_name").alias("_sa"))
-    pairs = left.join(right, block)
-    for a, b, name in (("_ch", "_sh", "home_similarity"), ("_ca", "_sa", "away_similarity")):
-        pairs = score_name_pairs(pairs, a, b, name, indel_similarity)
+    left = _with_names(canonical, ["match_id", *block], compact_key, {"_ch": "home_name", "_ca": "away_name"}, places=True)
+    right = _with_names(source, ["source_id", *block], compact_key, {"_sh": "home_name", "_sa": "away_name"})
+    home, away = (indel_by_places(f"_c{x}", f"_c{x}_places", f"_s{x}") for x in "ha")
+    most = 50.0 * (common_letters_ratio("_ch_tokens", "_sh_tokens") + common_letters_ratio("_ca_tokens", "_sa_tokens"))
+    # The two most promising candidates are compared first; others only as far as they may still pass the weaker of the two.
+    mine = Window.partitionBy("match_id")
+    pairs = left.join(right, block).withColumn("_most", most)
+    pairs = pairs.withColumn("_at", F.row_number().over(mine.orderBy(F.col("_most").desc(), F.col("source_id"))))
+    pairs = pairs.withColumn("_weaker", F.min(F.when(F.col("_at") <= 2, (home + away) / 2)).over(mine)).filter(F.col("_most") >= F.col("_weaker") - ROUNDING)
+    pairs = pairs.select("match_id", "source_id", home.alias("home_similarity"), away.alias("away_similarity"))
     pairs = pairs.withColumn("mean_similarity", (F.col("home_similarity") + F.col("away_similarity")) / 2)
     details = best_and_runner_up(pairs, "match_id", "mean_similarity", "source_id", ["home_similarity", "away_similarity"])
     details = details.withColumn("runner_up_margin", F.when(F.col("runner_up").isNull(), 100.0).otherwise(F.col("mean_similarity") - F.col("runner_up"))).drop("runner_up")

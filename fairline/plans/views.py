@@ -137,7 +137,7 @@ def oracle(body: str) -> str:
     body = _expand_rounding(body.strip())
     if not parts:
         return body if re.match(r"(?i)(select|with)\b", body) else f"WITH {body}"
-    head = "WITH RECURSIVE " if re.search(r"\ber AS \(", body) else "WITH "
+    head = "WITH RECURSIVE " if re.search(r"\b(er|seg) AS \(", body) else "WITH "
     glue = " " if re.match(r"(?i)select\b", body) else ", "
     return head + ", ".join(parts) + glue + body
 

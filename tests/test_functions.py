@@ -77,9 +77,12 @@ def lcs_ratio(a, b):
 @given(st.lists(st.tuples(st.text("abcd", max_size=7), st.text("abcd", max_size=7)), min_size=1, max_size=8))
 def test_similarities(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select("a", "b", scalars.indel_ratio("a", "b").alias("i"), names.matching_ratio("a", "b").alias("m"), names.indel_similarity("a", "b").alias("s")).collect()
+    got = df.select("a", "b", scalars.indel_ratio("a", "b").alias("i"), names.matching_ratio("a", "b").alias("m"), names.indel_similarity("a", "b").alias("s"),
+                    names.indel_by_places("a", names.letter_places("a"), "b").alias("p"), names.common_letters_ratio(names.letter_tokens("a"), names.letter_tokens("b")).alias("most")).collect()
     for row in got:
         assert row["i"] == pytest.approx(lcs_ratio(row["a"], row["b"])) == row["s"]
+        assert row["p"] == row["i"]
+        assert row["most"] >= max(row["m"], row["i"] / 100) - 1e-12
         assert row["m"] == pytest.approx(SequenceMatcher(None, row["a"], row["b"]).ratio())
 
 
