@@ -441,20 +441,20 @@ GRID_SQL = """, ru AS (SELECT (((ci * 8 + ei) * 5 + gi) * 4 + pi) * 2 + xi AS ru
   [0.0e0, 50.0e0, 100.0e0, 150.0e0, 200.0e0][gi + 1] AS mg, ['HDA', 'HA', 'H', 'A'][pi + 1] AS picks, xi
   FROM (SELECT unnest(range(8)) AS ci) CROSS JOIN (SELECT unnest(range(8)) AS ei) CROSS JOIN (SELECT unnest(range(5)) AS gi) CROSS JOIN (SELECT unnest(range(4)) AS pi) CROSS JOIN (SELECT unnest(range(2)) AS xi)),
  di AS (SELECT * FROM ed WHERE season NOT IN (SELECT DISTINCT season FROM ed ORDER BY season DESC LIMIT 2)), ho AS (SELECT * FROM ed WHERE season IN (SELECT DISTINCT season FROM ed ORDER BY season DESC LIMIT 2)),
- rs AS (SELECT rule_id, mc, me, mg, picks, xi, count(*) AS bets, CAST(sum(CAST(profit AS DECIMAL(38,12))) AS DOUBLE) AS profit FROM ru JOIN di ON mp >= mc AND edge >= me AND gap >= mg AND contains(picks, pick) AND (xi = 0 OR experienced) GROUP BY ALL HAVING count(*) >= 20)"""
+ rs AS (SELECT rule_id, mc, me, mg, picks, xi, count(*) AS bets, CAST(sum(CAST(profit AS DECIMAL(38,12))) AS DOUBLE) AS profit FROM ru JOIN di ON mp >= mc AND edge >= me AND gap >= mg AND contains(picks, pick) AND (xi = 0 OR experienced) GROUP BY ALL HAVING count(*) >= 200)"""
 
 
 @query("s5_rule_search", EDGE_SQL + GRID_SQL + " SELECT rule_id, mc AS min_confidence, me AS min_edge, mg AS min_abs_elo, picks, xi AS require_experience, bets, r4(profit) AS profit, r4(profit / bets) AS roi FROM rs")
 def s5(spark, sf):
     discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
-    out = st.search_rules(discovery, 20).withColumn("require_experience", F.col("require_experience").cast("int"))
+    out = st.search_rules(discovery).withColumn("require_experience", F.col("require_experience").cast("int"))
     return r6s(out, ["profit", "roi"], 4)
 
 
 @query("t5_best_rule", EDGE_SQL + GRID_SQL + " SELECT rule_id, bets, r4(profit / bets) AS roi FROM rs ORDER BY round(profit / bets, 9) DESC, bets DESC, rule_id LIMIT 1")
 def t5(spark, sf):
     discovery, _, _ = st.split_seasons(staged_edges(spark, sf))
-    rules = st.search_rules(discovery, 20).withColumn("roi", F.round("roi", 9))
+    rules = st.search_rules(discovery).withColumn("roi", F.round("roi", 9))
     return st.best_rule(rules).select("rule_id", "bets", F.round("roi", 4).alias("roi"))
 
 

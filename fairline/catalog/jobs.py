@@ -248,7 +248,7 @@ def p18(spark, sf):
  SELECT period, count(*) AS bets, r4(sum(al.profit)) AS profit_units FROM al JOIN br ON mp >= mc AND edge >= me AND gap >= mg AND contains(picks, pick) AND (xi = 0 OR experienced) GROUP BY period""",
 )
 def p19(spark, sf):
-    out = jobs.edge_research(*edge_inputs(spark, sf), "B1", 20, 5000, int_key())
+    out = jobs.edge_research(*edge_inputs(spark, sf), "B1", 200, 5000, int_key())
     return out.summary.select("period", "bets", F.round("profit_units", 4).alias("profit_units"))
 
 

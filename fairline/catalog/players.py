@@ -233,13 +233,13 @@ def w15(spark, sf):
   (SELECT 1 FROM v_lineup l WHERE l.match_id = o.match_id AND l.side = o.side AND l.player_id = o.player_id)),
  al AS (SELECT * FROM listed UNION ALL SELECT * FROM extra),
  rk AS (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY origin, place, player_id) AS bench_slot FROM al)
- SELECT match_id, side, bench_slot, player_id, CASE origin WHEN 0 THEN 'lineup' ELSE 'store' END AS origin FROM rk WHERE bench_slot <= 7""",
+ SELECT match_id, side, bench_slot, player_id, CASE origin WHEN 0 THEN 'lineup' ELSE 'store' END AS origin FROM rk WHERE bench_slot <= 12""",
 )
 def w16(spark, sf):
     store = p.temporal_player_matrix(squad_observations(spark, sf)).select(
         "match_id", "player_id", "team_id", "current_lineup_role", "current_position_normalized"
     )
-    return p.assemble_bench(lineups(spark, sf), store, 7).select("match_id", "side", "bench_slot", "player_id", "origin")
+    return p.assemble_bench(lineups(spark, sf), store).select("match_id", "side", "bench_slot", "player_id", "origin")
 
 
 @query(

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import common_letters_ratio, compact_key, indel_by_places, letter_places, letter_tokens, matching_ratio, team_key, token_key
 from ..functions.scalars import natural_key_id
@@ -30,7 +31,8 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
 def upsert_matches(matches: DataFrame, mapping: DataFrame, incoming: DataFrame, provider: str) -> dict[str, DataFrame]:
     """Identify records by the provider's map, else by (day, league, sides), else create the match.
 
-    Returns ``records`` (with match_id and how it was found), ``matches`` and ``mapping``."""
+    Returns ``records`` (with match_id and how it was found), ``matches`` and ``mapping``.  A new match's id is its natural key: 24 hex
+    digits, or a number made of the first fifteen where ``match_id`` is BIGINT; narrower ids cannot hold one and fail."""
     natural = ["day", "league", "home_team", "away_team"]
     records = incoming.withColumn("day", F.to_date("date"))
     mine = mapping.filter(F.col("provider") == provider).select("provider_match_id", F.col("match_id").alias("_mapped"))
@@ -38,6 +40,9 @@ def upsert_matches(matches: DataFrame, mapping: DataFrame, incoming: DataFrame,
     found = records.join(mine, "provider_match_id", "left").join(known, natural, "left")
     created = natural_key_id(*[F.col(c) for c in natural])
     id_type = matches.schema["match_id"].dataType
+    if isinstance(id_type, T.IntegralType):
+        # fifteen hex digits of the key always fit a BIGINT
+        created = F.conv(F.substring(created, 1, 15), 16, 10)
     found = found.withColumn("match_id", F.coalesce("_mapped", "_natural", created.cast(id_type)))
     found = found.withColumn("method", F.when(F.col("_mapped").isNotNull(), "mapped").when(F.col("_natural").isNotNull(), "natural_key").otherwise("created"))
     found = found.drop("_mapped", "_natural")

@@ -95,3 +95,16 @@ def test_long_and_odd_names(spark):
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts[:12]], "a string, b string")
     for r in pairs.select("a", "b", names.indel_by_places("a", names.letter_places("a"), "b").alias("s")).collect():
         assert r.s == pytest.approx(lcs_ratio(r.a, r.b))
+
+
+def test_new_matches_get_numbers_where_ids_are_numbers(spark):
+    cols = "provider_match_id string, date string, league string, home_team string, away_team string"
+    incoming = spark.createDataFrame([("x1", "2024-01-01", "E", "a", "b"), ("x2", "2024-01-02", "E", "a", "c"), ("x3", "2024-01-03", "E", "d", "e")], cols)
+    stored = spark.createDataFrame([(5, "2024-01-01", "E", "a", "b")], "match_id long, date string, league string, home_team string, away_team string")
+    mapping = spark.createDataFrame([("p", "x2", 9)], "provider string, provider_match_id string, match_id long")
+    first = resolve.upsert_matches(stored, mapping, incoming, "p")
+    ids = {r.provider_match_id: (r.match_id, r.method) for r in first["records"].collect()}
+    assert ids["x1"] == (5, "natural_key") and ids["x2"] == (9, "mapped") and ids["x3"][1] == "created" and ids["x3"][0] > 0
+    again = resolve.upsert_matches(first["matches"], first["mapping"], incoming, "p")
+    assert {r.provider_match_id: r.match_id for r in again["records"].collect()} == {k: v[0] for k, v in ids.items()}
+    assert again["matches"].count() == first["matches"].count() == 2
