@@ -289,7 +289,7 @@ def m1(spark, sf):
 @query(
     "m4_score_equations",
     # At the optimum every identity's observed goals equal its fitted ones less the penalty, so each equation leaves nothing.
-    """WITH l AS (SELECT unnest([{'kind': 'one', 'level': ''}, {'kind': 'home_team', 'level': CAST(home_team AS VARCHAR)}, {'kind': 'away_team', 'level': CAST(away_team AS VARCHAR)},
+    """l AS (SELECT unnest([{'kind': 'one', 'level': ''}, {'kind': 'home_team', 'level': CAST(home_team AS VARCHAR)}, {'kind': 'away_team', 'level': CAST(away_team AS VARCHAR)},
  {'kind': 'league', 'level': CAST(league AS VARCHAR)}]) AS e FROM v_match)
  SELECT e.kind AS kind, e.level AS level, count(*) AS matches, CAST(0 AS BIGINT) AS home_left, CAST(0 AS BIGINT) AS away_left FROM l WHERE e.level IS NOT NULL GROUP BY ALL""",
 )
