@@ -53,13 +53,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """(doc_id, text_hash, base, spans): spans are arrays of (start, end, kind, value, owners, repos, live), sorted.
 
     One row for each distinct (doc_id, text), so repeated rows share theirs; null texts are empty and have none; a null owner is an owner.
-    ``base`` are the regular expressions' own spans; ``spans`` also has tokens that are live-looking."""
+    ``base`` are the regular expressions' own spans; ``spans`` also has tokens that are live-looking, those that an access key or hex run covers
+    in part among them."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col else F.lit("")
     repo = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols]) if repo_cols else F.lit("")
     rows = documents(docs, id_col, text_col, owner.alias("owner"), repo.alias("repo"))
     base, tokens = candidates(F.col("text"))
     rows = rows.select("doc_id", "owner", "repo", F.xxhash64("text").alias("text_hash"), base.alias("base"), tokens.alias("tokens"))
-    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    # An assignment holds the whole value, and what a token has before it is the key's name; a key or hex run may be the middle of a token.
+    held = lambda t, b: (b["kind"] == 0) | ((b["start"] <= t["start"]) & (t["end"] <= b["end"]))
+    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]) & held(t, b)))
     rows = rows.select("doc_id", "owner", "repo", "text_hash", F.explode(F.concat("base", apart)).alias("m"))
     rows = rows.select("doc_id", "owner", "repo", "text_hash", "m.*", F.sha2(F.col("m.value"), 256).alias("value_hash"))
     found = stage(rows, "secret-candidates")
