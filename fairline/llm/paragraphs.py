@@ -5,9 +5,13 @@ looked at once.  In a bucket, paragraphs are compared exactly until those that b
 not compared, so a bucket of n variants gives n links, not n^2.  A large bucket is cut into chunks and every pair of chunks goes to a
 task of its own.  Of each component the first occurrence stays.
 
-Passages are the finer unit: runs of ``PASSAGE`` words or more that also stand in another document, wherever lines begin.  Of any ``PASSAGE``
-words in a row at least one window of ``SEED`` is picked by its own hash alone, so equal passages pick equal windows.  Windows found in
-several documents are compared with the first one's surroundings word by word; spans that hang together become one."""
+Passages are the finer unit: runs of ``PASSAGE`` words that also stand in an earlier document, wherever lines begin.  Every run picks one
+window of ``SEED`` words by hashes of its own words alone, so equal runs pick equal windows.  Consecutive runs that pick the same window are a
+block.  Only windows of several documents go on.  A block that an earlier document has as a whole goes as a whole; where a window has different
+blocks, the first document with each block lists its runs one by one, and runs that an earlier document lists go.  Runs are told apart by
+64-bit values within equal windows; spans that hang together become one.
+
+A document is a (doc_id, hash of the text), so rows that share a doc_id stay apart; rows alike in both are one document."""
 
 from __future__ import annotations
 
@@ -19,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import stage
 from .common import documents, map_batches, star_components
+from .hashing import Runs, chunks, spans, word_values
 
 #: Words of a shingle and of the shortest paragraph that takes part; least Jaccard similarity.
 WIDTH, SIMILARITY = 5, 0.8
@@ -44,6 +49,10 @@ _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED_PLACE = _rng.integers(1, 1 << 63, SEED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Places that keys are counted in before a join, and tasks that the rows of a place far above the mean are dealt to.
+SLOTS, SALTS = 1 << 16, 64
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,13 +74,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(word: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Starts of the windows picked in texts of so many words: of every ``PASSAGE`` words of a text the window of ``SEED`` with the smallest
-    hash, the first of equal ones."""
+def picks(word: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, first runs, last runs), all as starts, for texts of so many words: every run of ``PASSAGE`` words of a text picks the window of
+    ``SEED`` with the smallest hash, the first of equal ones; the runs that pick a window follow one another."""
     ends = np.cumsum([len(word)] if sizes is None else sizes)
     count, reach = len(word) - PASSAGE + 1, PASSAGE - SEED + 1
     if count <= 0:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     h = np.zeros(len(word) - SEED + 1, np.uint64)
     mixed = _mix(word)
     for k in range(SEED):
@@ -84,7 +93,14 @@ def seeds(word: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
         span *= 2
     left, right = best[:count], best[reach - span : reach - span + count]
     whole = np.arange(count) + PASSAGE <= ends[np.searchsorted(ends, np.arange(count), "right")]
-    return np.unique(np.where(h[right] < h[left], right, left)[whole])
+    run = np.flatnonzero(whole)
+    window, first, many = np.unique(np.where(h[right] < h[left], right, left)[run], return_index=True, return_counts=True)
+    return window, run[first], run[first] + many - 1
+
+
+def seeds(word: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the windows picked in texts of so many words."""
+    return picks(word, sizes)[0]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
@@ -142,30 +158,39 @@ def join_up(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-_UNITS = "doc_id long, pos int, at int, n_words int, ph binary, bands array<long>"
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, t): t tells rows apart that share a doc_id."""
+    return documents(docs, id_col, text_col, _text_key(text_col).alias("t"))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+_UNITS = "doc_id long, t long, pos int, at int, n_words int, ph binary, bands array<long>"
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, at, n_words, ph, bands): paragraphs that take part, ``at`` words before them; ph is a 128-bit hash of the words."""
+    """(doc_id, t, pos, at, n_words, ph, bands): paragraphs that take part, ``at`` words before them; ph is a 128-bit hash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in _pieces(batches):
-            ids, found = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = split(t.as_py())
-                ids += [i] * len(own)
+            rows, found = [], []
+            for i, text in enumerate(batch.column(1)):
+                own = split(text.as_py())
+                rows += [i] * len(own)
                 found += own
             if found:
                 keys = bands(*shingles([w for *_, w in found])).view(np.int64)
                 yield {
-                    "doc_id": ids, "pos": [k for k, *_ in found], "at": [at for _, at, _ in found], "n_words": [len(w) for *_, w in found], "ph": [xxhash.xxh3_128_digest(b" ".join(w)) for *_, w in found],
+                    "doc_id": batch.column(0).take(pa.array(rows)), "t": batch.column(2).take(pa.array(rows)), "pos": [k for k, *_ in found], "at": [at for _, at, _ in found], "n_words": [len(w) for *_, w in found], "ph": [xxhash.xxh3_128_digest(b" ".join(w)) for *_, w in found],
                     "bands": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())}
 
-    return map_batches(documents(docs, id_col, text_col), run, _UNITS)
+    return map_batches(_keyed(docs, id_col, text_col), run, _UNITS)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ph, shingles binary) of the paragraphs (doc_id, places) wanted, one occurrence each."""
+    """(ph, shingles binary) of the paragraphs (doc_id, t, places) wanted, one occurrence each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in _pieces(batches, 0):
@@ -179,13 +204,13 @@ def _contents(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             yield {"ph": hashes, "shingles": sets}
 
     # Here and below the other side grows with the corpus, so it is joined in one way at every size.
-    texts = documents(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id").select("text", "places")
+    texts = _keyed(docs, id_col, text_col).join(wanted.hint("merge"), ["doc_id", "t"]).select("text", "places")
     return map_batches(texts, run, "ph binary, shingles binary").groupBy("ph").agg(F.first("shingles").alias("shingles"))
 
 
 def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links between hashes of different paragraphs; ``found`` are the staged ``units``."""
-    nodes = found.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("bands").alias("bands"))
+    nodes = found.groupBy("ph").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.first("bands").alias("bands"))
     nodes = stage(nodes, "paragraph-nodes")
     member = F.xxhash64("ph")
     rows = nodes.select(member.alias("m"), F.posexplode("bands").alias("band", "key"))
@@ -193,7 +218,7 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     buckets = stage(buckets.groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key"), "paragraph-buckets")
     places = nodes.select("ph", "first", F.posexplode("bands").alias("band", "key")).join(buckets.hint("merge"), ["band", "key"])
     places = stage(places.select("ph", "first", "band", "key", "n"), "paragraph-members")
-    wanted = places.filter("first.doc_id is not null").groupBy("first.doc_id").agg(F.collect_set("first.pos").alias("places"))
+    wanted = places.filter("first.doc_id is not null").groupBy("first.doc_id", "first.t").agg(F.collect_set("first.pos").alias("places"))
     contents = _contents(docs, wanted, id_col, text_col)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("ph"), chunks).cast("int")
@@ -209,68 +234,71 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     return members.groupBy("band", "key", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
-def _seed_hash(words: list[bytes], at: int) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words[at : at + SEED])) - (1 << 63)
+def _meet(rows: DataFrame, few: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Inner join of staged ``rows`` with ``few``, which has every key once.  Keys are counted in ``SLOTS`` slots; rows of slots far above the
+    mean are dealt to ``SALTS`` tasks by the hash of ``by``, so no key stays in one task.  At most ``SLOTS`` numbers are broadcast."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    counts = rows.groupBy(slot.alias("_slot")).agg(F.count("*").alias("n"))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    hot = F.broadcast(counts.filter(F.col("n") > 8 * mean + SALTS).select("_slot", F.lit(True).alias("_hot")))
+    one, every = F.lit(0), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt = rows.withColumn("_slot", slot).join(hot, "_slot", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(one))
+    copies = few.withColumn("_slot", slot).join(hot, "_slot", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(one))))
+    return dealt.drop("_slot", "_hot").join(copies.drop("_slot", "_hot").hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
-def _words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _words_in(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, words of each row, values of all words) for rows of a string column, some ``PIECE_BYTES`` at a time."""
+    for row, _, data, offsets in chunks(column, PIECE_BYTES):
+        starts, ends = spans(_INSIDE[data], offsets)
+        yield row, np.diff(np.searchsorted(starts, offsets)), word_values(data, starts, ends)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, class_doc): words that repeat a passage of an earlier document; spans may overlap."""
+    """(doc_id, t, start, end, class_doc): words in runs of ``PASSAGE`` that an earlier document has, too; spans may overlap."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in _pieces(batches):
-            texts = [_words_of(t.as_py()) for t in batch.column(1)]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            words = [w for t in texts for w in t]
-            own = seeds(word_hashes(words), sizes)
-            ends = np.cumsum(sizes)
-            text = np.searchsorted(ends, own, "right")
-            yield {"doc_id": batch.column(0).take(pa.array(text)), "at": own - (ends - sizes)[text], "h": [_seed_hash(words, a) for a in own.tolist()]}
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in _pieces(batches):
-            ids, starts, firsts, hashes, before, after = [], [], [], [], [], []
-            for i, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = _words_of(t.as_py())
-                word = word_hashes(words).astype(np.uint32)
-                for a, first in [(x["at"], x["first"]) for x in wanted if x["at"] + SEED <= len(words)]:
-                    ids.append(i)
-                    starts.append(a)
-                    firsts.append(first)
-                    hashes.append(_seed_hash(words, a))
-                    before.append(word[max(0, a - PASSAGE + SEED) : a][::-1].tobytes())
-                    after.append(word[a + SEED : a + PASSAGE].tobytes())
-            yield {"doc_id": ids, "at": starts, "first": firsts, "h": hashes, "before": before, "after": after}
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out = {"doc_id": [], "start": [], "end": [], "class_doc": []}
-            for i, at, b, a, lead, lead_b, lead_a in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                back, on = [_alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in ((b, lead_b), (a, lead_a))]
-                if back + SEED + on >= PASSAGE:
-                    for column, value in zip(out.values(), (i, at - back, at + SEED + on, lead), strict=True):
-                        column.append(value)
-            yield out
-
-    texts = documents(docs, id_col, text_col).filter("doc_id is not null")
-    found = stage(map_batches(texts, pick, "doc_id long, at int, h long"), "passage-seeds")
-    again = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.max("doc_id").alias("high")).filter("lead.doc_id < high").select("h", "lead")
-    wanted = found.join(again.hint("merge"), "h").filter("doc_id <> lead.doc_id or at = lead.at").groupBy("doc_id").agg(F.collect_set(F.struct("at", (F.col("doc_id") == F.col("lead.doc_id")).alias("first"))).alias("wanted"))
-    texts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
-    near = stage(map_batches(texts, around, "doc_id long, at int, first boolean, h long, before binary, after binary"), "passage-surroundings")
-    lead = near.filter("first").groupBy("h").agg(F.first(F.struct("doc_id", "before", "after")).alias("lead"))
-    rows = near.filter("not first").join(lead.hint("merge"), "h").select("doc_id", "at", "before", "after", F.col("lead.doc_id").alias("class_doc"), F.col("lead.before").alias("lead_before"), F.col("lead.after").alias("lead_after"))
-    return map_batches(rows, extend, "doc_id long, start int, end int, class_doc long")
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> int:
-    """Equal words at the beginning of both."""
-    n = min(len(a), len(b))
-    apart = np.flatnonzero(a[:n] != b[:n])
-    return int(apart[0]) if len(apart) else n
+            for row, sizes, word in _words_in(batch.column(1)):
+                window, first, last = picks(word, sizes)
+                if len(window):
+                    runs, ends = Runs(word), np.cumsum(sizes)
+                    text = np.searchsorted(ends, window, "right")
+                    before, rows = (ends - sizes)[text], pa.array(text + row)
+                    # the window's place in the block is part of the block's value
+                    block = runs.values(first, last - first + PASSAGE) + (window - first).astype(np.uint64)
+                    yield {
+                        "doc_id": batch.column(0).take(rows), "t": batch.column(2).take(rows), "first": first - before, "last": last - before,
+                        "h": runs.values(window, SEED).view(np.int64), "b": block.view(np.int64)}
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            wanted = batch.column(3)
+            for row, sizes, word in _words_in(batch.column(1)):
+                runs, at = Runs(word), 0
+                for k, size in enumerate(sizes.tolist(), row):
+                    own = wanted[k].values
+                    first, last, h = (own.field(name).to_numpy() for name in ("first", "last", "h"))
+                    many = (last - first + 1).astype(np.int64)
+                    start = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                    same = pa.array(np.full(len(start), k))
+                    yield {"doc_id": batch.column(0).take(same), "t": batch.column(2).take(same), "start": start, "h": np.repeat(h, many), "r": runs.values(at + start, PASSAGE).view(np.int64)}
+                    at += size
+
+    doc = F.struct("doc_id", "t")
+    texts = _keyed(docs, id_col, text_col).filter("doc_id is not null")
+    found = stage(map_batches(texts, pick, "doc_id long, t long, first int, last int, h long, b long"), "passage-windows")
+    shared = found.groupBy("h").agg(F.min(doc).alias("low"), F.max(doc).alias("high"), (F.min("b") < F.max("b")).alias("several")).filter("low < high").select("h", "several")
+    near = stage(_meet(found, shared, ["h"], ["doc_id", "t", "first"]), "passage-shared")
+    lead = near.groupBy("h", "b").agg(F.min(doc).alias("lead"))
+    near = stage(_meet(near, lead, ["h", "b"], ["doc_id", "t", "first"]), "passage-blocks")
+    whole = near.filter(doc != F.col("lead")).select("doc_id", "t", F.col("first").alias("start"), (F.col("last") + PASSAGE).alias("end"), F.col("lead.doc_id").alias("class_doc"))
+    wanted = near.filter(F.col("several") & (doc == F.col("lead"))).groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "last", "h")).alias("wanted"))
+    texts = texts.join(wanted.hint("merge"), ["doc_id", "t"]).select("doc_id", "text", "t", "wanted")
+    runs = stage(map_batches(texts, unfold, "doc_id long, t long, start int, h long, r long"), "passage-runs")
+    lead = runs.groupBy("h", "r").agg(F.min(doc).alias("lead"), F.max(doc).alias("high")).filter("lead < high").select("h", "r", "lead")
+    part = _meet(runs, lead, ["h", "r"], ["doc_id", "t", "start"]).filter(doc != F.col("lead"))
+    return whole.unionByName(part.select("doc_id", "t", "start", (F.col("start") + PASSAGE).alias("end"), F.col("lead.doc_id").alias("class_doc")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,51 +324,51 @@ def rest(spans: list[tuple[int, int]], lines: list[tuple[int, int]]) -> list[tup
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lines, removed, spans, words, class_docs): what repeats something earlier, a row for each document that has it, and the staged
+    """(doc_id, t, removed, spans, words, class_docs): what repeats something earlier, a row for each document that has it, and the staged
     ``units``.  ``removed`` are positions of lines, ``spans`` what passages have outside them as (start, end) in words, ``words`` those in either."""
     found = stage(units(docs, id_col, text_col).filter("doc_id is not null"), "paragraph-units")
     group = star_components(links(docs, found, id_col, text_col), "paragraph-links").withColumnRenamed("node", "ph")
-    exact = found.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+    exact = found.groupBy("ph").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("n"))
     exact = exact.join(group.hint("merge"), "ph", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "ph"))
     lead = exact.groupBy("component").agg(F.min("first").alias("lead"))
     known = stage(exact.join(lead, "component").select("ph", "lead"), "paragraph-leads")
-    again = found.select("doc_id", "pos", "at", "n_words", "ph").join(known.hint("merge"), "ph").filter(F.struct("doc_id", "pos") != F.col("lead"))
-    again = again.select("doc_id", "pos", F.col("at").alias("start"), (F.col("at") + F.col("n_words")).alias("end"), F.col("lead.doc_id").alias("class_doc")).distinct()
+    again = found.select("doc_id", "t", "pos", "at", "n_words", "ph").join(known.hint("merge"), "ph").filter(F.struct("doc_id", "t", "pos") != F.col("lead"))
+    again = again.select("doc_id", "t", "pos", F.col("at").alias("start"), (F.col("at") + F.col("n_words")).alias("end"), F.col("lead.doc_id").alias("class_doc")).distinct()
     both = again.unionByName(passages(docs, id_col, text_col).withColumn("pos", F.lit(None).cast("int")))
     span, line = F.struct("start", "end"), F.col("pos").isNotNull()
-    gone = both.groupBy("doc_id").agg(
+    gone = both.groupBy("doc_id", "t").agg(
         F.array_sort(F.collect_list("pos")).alias("removed"), F.collect_list(F.when(line, span)).alias("lines"), F.collect_list(F.when(~line, span)).alias("spans"), F.array_sort(F.collect_set("class_doc")).alias("class_docs"))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out = {"doc_id": batch.column(0), "removed": batch.column(1), "spans": [], "words": [], "class_docs": batch.column(4)}
-            for lines, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lines, spans = (merged([(x["start"], x["end"]) for x in part]) for part in (lines, spans))
-                spans = rest(spans, lines)
-                out["spans"].append([{"start": a, "end": b} for a, b in spans])
-                out["words"].append(sum(b - a for a, b in lines + spans))
+            out = {"doc_id": batch.column(0), "t": batch.column(1), "removed": batch.column(2), "spans": [], "words": [], "class_docs": batch.column(5)}
+            for lines, parts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                lines, parts = (merged([(x["start"], x["end"]) for x in part]) for part in (lines, parts))
+                parts = rest(parts, lines)
+                out["spans"].append([{"start": a, "end": b} for a, b in parts])
+                out["words"].append(sum(b - a for a, b in lines + parts))
             yield out
 
-    return map_batches(gone, put_together, "doc_id long, removed array<int>, spans array<struct<start: int, end: int>>, words long, class_docs array<long>"), found
+    return map_batches(gone, put_together, "doc_id long, t long, removed array<int>, spans array<struct<start: int, end: int>>, words long, class_docs array<long>"), found
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_paragraphs, n_compared, n_removed, words_removed, removed, class_docs, passages.
 
-    ``removed`` lists the positions of lines that go, ``passages`` the words (start:end, counted over the text) that repeat ``PASSAGE`` words or
+    ``removed`` lists the positions of lines that go, ``passages`` the words (start:end, counted over the text) in runs of ``PASSAGE`` words or
     more of an earlier document and stand outside those lines, in pieces of ``WIDTH`` words or more; ``words_removed`` counts both, ``class_docs``
-    are the documents that hold what is kept.  Lines of fewer than ``WIDTH`` words go only as part of such a piece; null and empty texts
-    have nothing to remove.  A passage that only its own document repeats stays.  Rows that share a doc_id are one document; a row without one is left alone and not
+    are earlier documents that hold it.  Lines of fewer than ``WIDTH`` words go only as part of such a piece; null and empty texts
+    have nothing to remove.  A passage that only its own document repeats stays.  Rows that share doc_id and text are one document, other rows that share a doc_id are several; a row without one is left alone and not
     compared."""
     gone, found = removals(docs, id_col, text_col)
-    compared = found.select("doc_id", "pos", "ph").groupBy("doc_id").agg(F.count("*").alias("n_compared"))
-    rows = documents(docs, id_col, text_col).select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_paragraphs"))
-    rows = rows.join(compared.hint("merge"), "doc_id", "left").join(gone.hint("merge"), "doc_id", "left")
+    compared = found.groupBy("doc_id", "t").agg(F.count_distinct("pos").alias("n_compared"))
+    rows = _keyed(docs, id_col, text_col).select("doc_id", "t", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_paragraphs"))
+    rows = rows.join(compared.hint("merge"), ["doc_id", "t"], "left").join(gone.hint("merge"), ["doc_id", "t"], "left")
     none = F.coalesce(F.size("removed"), F.lit(0))
-    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    parts = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return rows.select(
         "doc_id", "n_paragraphs", F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"), F.greatest(none, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("words", F.lit(0)).cast("long").alias("words_removed"),
-        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.coalesce("class_docs", F.expr("cast(array() as array<bigint>)")).alias("class_docs"), F.coalesce(F.array_join(spans, ","), F.lit("")).alias("passages"))
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.coalesce("class_docs", F.expr("cast(array() as array<bigint>)")).alias("class_docs"), F.coalesce(F.array_join(parts, ","), F.lit("")).alias("passages"))
 
 
 _WORD = re.compile(rb"\S+")
@@ -366,6 +394,6 @@ def cut(text: str | None, removed: list[int] | None, spans: list[tuple[int, int]
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated paragraphs and passages cut out of the text, other columns as they are."""
     gone, _ = removals(docs, id_col, text_col)
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__gone"), F.col("spans").alias("__spans"))
-    rows = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    return rows.withColumn(text_col, F.udf(cut, "string", useArrow=False)(F.col(text_col), "__gone", "__spans")).drop("__doc", "__gone", "__spans")
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), F.col("removed").alias("__gone"), F.col("spans").alias("__spans"))
+    rows = docs.join(gone, (F.col(id_col).cast("long") == F.col("__doc")) & (_text_key(text_col) == F.col("__t")), "left")
+    return rows.withColumn(text_col, F.udf(cut, "string", useArrow=False)(F.col(text_col), "__gone", "__spans")).drop("__doc", "__t", "__gone", "__spans")

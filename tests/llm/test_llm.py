@@ -393,6 +393,48 @@ def test_passages_inside_different_lines(spark):
             assert {*paragraphs.seeds(own)} <= {*inside}
 
 
+def test_passages_against_brute_force(spark):
+    rng = random.Random(17)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    run, template = words(55), words(140)
+    # An earlier document holds 49 of the 55 words that two later ones share; templates are filled in at different places.
+    texts = [words(20) + run[:49] + words(20), words(30) + run + words(9), words(12) + run + words(41), words(4) + run + words(3) + run]
+    for at in rng.sample(range(1, 139), 9):
+        texts.append(words(rng.randint(0, 30)) + template[:at] + words(2) + template[at:] + words(rng.randint(0, 30)))
+    texts += [template[20:110], template, ["echo"] * 130, ["echo"] * 70]
+    # Two rows share a doc_id, one row stands twice.
+    ids = [*range(len(texts)), 5, 3]
+    texts += [words(7) + texts[4][:90], texts[3]]
+    docs = [(i, " ".join(t)) for i, t in zip(ids, texts)]
+    keys = {d: (d[0], spark.range(1).select(F.xxhash64(F.lit(d[1])).alias("t")).first().t) for d in docs}
+    first = {}
+    for i, t in {*docs}:
+        w = t.split()
+        for k in range(len(w) - 49):
+            r = tuple(w[k : k + 50])
+            first[r] = min(first.get(r, keys[i, t]), keys[i, t])
+    got = collections_of(paragraphs.passages(frame(spark, [t for _, t in docs], ids)))
+    for d in docs:
+        w = d[1].split()
+        want = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < keys[d] for j in range(50)}
+        assert got.get(keys[d], set()) == want
+
+
+def collections_of(spans):
+    covered = defaultdict(set)
+    for r in spans.collect():
+        covered[r.doc_id, r.t] |= {*range(r.start, r.end)}
+    return covered
+
+
+def test_rows_that_share_a_doc_id_keep_what_stands_once(spark):
+    line, only = "alpha beta gamma delta epsilon zeta eta", "theta iota kappa lambda mu nu xi"
+    docs = frame(spark, [line, line + "\none", only + "\ntwo"], [1, 5, 5])
+    assert sorted(r.text for r in paragraphs.deduplicate(docs).collect()) == sorted([line, "one", only + "\ntwo"])
+    got = {r.removed for r in paragraphs.report(docs).filter("doc_id = 5").collect()}
+    assert got == {"0", ""}
+
+
 def test_paragraph_links_connect_what_all_pairs_would():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 40, 40).astype(np.uint64)
