@@ -87,7 +87,7 @@ def a6(spark, sf):
     return feeds.roster_players(parsed, ["match_id", "side"]).select("match_id", "side", "player_name", "position", "lineup_role")
 
 
-def odds_payloads(spark, sf):
+def odds_payloads(spark, sf, current="1", total=1, *keep):
     """One page per quote: market 1 plus a decoy market and an unknown selection."""
     value = lambda name, column: F.struct(F.lit(name).alias("value"), column.cast("string").alias("odd"))
     away = F.when(F.col("seq") == 2, F.lit(1.0)).otherwise(F.col("odds_a"))
@@ -97,8 +97,8 @@ def odds_payloads(spark, sf):
     item = F.struct(
         F.struct(F.lit(1).alias("id"), F.lit(2024).alias("season")).alias("league"), F.struct(F.col("match_id").alias("id"), F.lit("2024-01-01T15:00:00+00:00").alias("date")).alias("fixture"),
         F.date_format("quoted_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("update"), F.array(book).alias("bookmakers"))
-    page = F.struct(F.array().cast("array<string>").alias("errors"), F.struct(F.lit(1).alias("current"), F.lit(1).alias("total")).alias("paging"), F.array(item).alias("response"))
-    return view(spark, sf, "v_quote").select(F.to_json(page).alias("payload"))
+    page = F.struct(F.array().cast("array<string>").alias("errors"), F.struct(F.expr(current).cast("int").alias("current"), F.lit(total).alias("total")).alias("paging"), F.array(item).alias("response"))
+    return view(spark, sf, "v_quote").select(*map(F.expr, keep), F.to_json(page).alias("payload"))
 
 
 @query(
@@ -119,6 +119,16 @@ def a5_rejected(spark, sf):
     return feeds.odds_pages(pages)[1].groupBy("bookmaker", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "a5_page_manifest",
+    """SELECT match_id AS collection, 7 AS pages_available, count(DISTINCT seq) AS pages_collected, count(DISTINCT seq) = 7 AS complete, 1 AS fixtures, 3 * count(*) - count(CASE WHEN seq = 2 THEN 1 END) AS rows,
+ count(CASE WHEN seq = 2 THEN 1 END) AS invalid_values, 0 AS untimed_items FROM v_quote GROUP BY match_id""",
+)
+def a5_manifest(spark, sf):
+    pages = odds_payloads(spark, sf, "seq", 7, "match_id AS collection").select("collection", F.from_json("payload", feeds.ODDS_PAGE).alias("p")).select("collection", "p.*")
+    return feeds.odds_manifest(pages, ["collection"])
+
+
 def feed_payloads(spark, sf):
     rows = lineups(spark, sf)
     event = lambda kind, minute: F.when(minute.isNotNull(), F.array(F.struct(F.lit(kind).alias("type"), minute.alias("time"), F.lit(1.0).alias("additionalTime"))))

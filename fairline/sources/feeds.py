@@ -32,6 +32,7 @@ REPORT = (
     "lineups:struct<home:struct<formation:string,players:array<struct<name:string,number:int>>>,away:struct<formation:string,players:array<struct<name:string,number:int>>>>,"
     "player_stats:struct<home:array<struct<Player:string,Pos:string>>,away:array<struct<Player:string,Pos:string>>>>"
 )
+ODDS_PROVIDER = "API-Football"
 SELECTIONS = {"Home": "H", "Draw": "D", "Away": "A"}
 BOOKMAKER_COLUMNS = {
     "Market Average": {"closing": ("AvgCH", "AvgCD", "AvgCA"), "opening": ("AvgH", "AvgD", "AvgA")},
@@ -145,24 +146,50 @@ def cutoff_snapshot(
     return to_selections(mapped, keep)
 
 
-def odds_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of parsed odds pages: market 1 only, known selections, price above one.
+def odds_values(pages: DataFrame, keep: Sequence[str] = (), provider: str = ODDS_PROVIDER) -> DataFrame:
+    """Every listed value of market 1 with a known selection, the ``keep`` columns of its page and a ``reason``: null for a good price,
+    ``price_not_above_one`` or ``no_update_time``.  An item without a readable update time is one row, whatever it lists."""
+    def items(i: Column) -> Column:
+        updated = F.try_to_timestamp(i["update"])
+        values = F.flatten(F.transform(F.coalesce(i["bookmakers"], F.array()), lambda b: F.flatten(F.transform(
+            F.filter(F.coalesce(b["bets"], F.array()), lambda t: F.coalesce(t["id"] == 1, F.lit(False))),
+            lambda t: F.transform(F.coalesce(t["values"], F.array()), lambda v: F.struct(b["id"].alias("bookmaker_id"), b["name"].alias("bookmaker"), known[v["value"]].alias("selection"), v["odd"].alias("odd")))))))
+        listed = F.filter(values, lambda v: v["selection"].isNotNull())
+        nothing = F.array(F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (("bookmaker_id", "int"), ("bookmaker", "string"), ("selection", "string"), ("odd", "string"))]))
+        return F.struct(i["fixture"].alias("fixture"), i["league"].alias("league"), updated.alias("updated"), F.when(updated.isNull(), nothing).otherwise(listed).alias("values"))
 
-    A page item without a readable update time is a contract breach and fails the job."""
-    items = pages.select(F.explode("response").alias("i"))
-    updated = F.try_to_timestamp(F.col("i.update"))
-    checked = F.when(updated.isNull(), F.raise_error(F.lit("odds page without provider update time")).cast("timestamp")).otherwise(updated)
-    books = items.select("i.fixture", "i.league", checked.alias("provider_updated_at"), F.explode("i.bookmakers").alias("b"))
-    bets = books.select("fixture", "league", "provider_updated_at", F.col("b.id").alias("bookmaker_id"), F.col("b.name").alias("bookmaker"), F.explode("b.bets").alias("t"))
-    values = bets.filter("t.id = 1").select("fixture", "league", "provider_updated_at", "bookmaker_id", "bookmaker", F.explode("t.values").alias("v"))
     known = F.create_map(*[F.lit(x) for pair in SELECTIONS.items() for x in pair])
-    rows = values.select(
-        F.col("fixture.id").cast("string").alias("provider_fixture_id"), F.try_to_timestamp("fixture.date").alias("fixture_kickoff"), F.col("league.id").alias("league_id"),
-        F.col("league.season").alias("season"), "bookmaker_id", "bookmaker", F.lit("1X2").alias("market"), known[F.col("v.value")].alias("selection"),
-        number_or_null("v.odd").alias("decimal_odds"), "provider_updated_at",
-    ).filter("selection IS NOT NULL")
-    valid = F.coalesce(F.col("decimal_odds") > 1, F.lit(False))
-    return rows.filter(valid), rows.filter(~valid).withColumn("reason", F.lit("price_not_above_one"))
+    rows = pages.select(*keep, F.explode(F.transform("response", items)).alias("_i")).select(*keep, "_i.*").select(*keep, "fixture", "league", "updated", F.explode("values").alias("_v"))
+    odds = number_or_null("_v.odd")
+    reason = F.when(F.col("updated").isNull(), "no_update_time").when(~F.coalesce(odds > 1, F.lit(False)), "price_not_above_one")
+    return rows.select(
+        F.lit(provider).alias("provider"), F.col("fixture.id").cast("string").alias("provider_fixture_id"), F.try_to_timestamp("fixture.date").alias("fixture_kickoff"),
+        F.col("league.id").alias("league_id"), F.col("league.season").alias("season"), "_v.bookmaker_id", "_v.bookmaker", F.lit("1X2").alias("market"), "_v.selection",
+        odds.alias("decimal_odds"), F.col("updated").alias("provider_updated_at"), *keep, reason.alias("reason"))
+
+
+def odds_pages(pages: DataFrame, keep: Sequence[str] = (), provider: str = ODDS_PROVIDER) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of parsed odds pages: market 1 only, known selections, price above one; ``keep`` names columns of the pages that
+    every row carries, such as ``collected_at``.
+
+    A page item without a readable update time is a contract breach and fails the job; ``odds_values`` lists it instead."""
+    values = odds_values(pages, keep, provider)
+    breach = F.raise_error(F.lit("odds page without provider update time")).cast("boolean")
+    good = F.when(F.col("provider_updated_at").isNull(), breach).otherwise(F.col("reason").isNull())
+    return values.filter(good).drop("reason"), values.filter(~good)
+
+
+def odds_manifest(pages: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per collection (``by``): pages available and collected, whether that is all of them, fixtures and rows with a good price,
+    rejected prices and items without update time.  A page without paging is the only one; a page that stands twice counts once."""
+    facts = [*by, F.coalesce("paging.current", F.lit(1)).alias("_current"), F.coalesce("paging.total", F.lit(1)).alias("_total")]
+    paging = pages.select(*facts).groupBy(*by).agg(F.max("_total").alias("pages_available"), F.count_distinct("_current").alias("pages_collected"))
+    good = F.col("reason").isNull()
+    values = odds_values(pages, by).groupBy(*by).agg(
+        F.count_distinct(F.when(good, F.col("provider_fixture_id"))).alias("fixtures"), F.count_if(good).alias("rows"),
+        F.count_if(F.col("reason") == "price_not_above_one").alias("invalid_values"), F.count_if(F.col("reason") == "no_update_time").alias("untimed_items"))
+    out = paging.join(values, list(by), "left").fillna(0, ["fixtures", "rows", "invalid_values", "untimed_items"])
+    return out.withColumn("complete", F.col("pages_collected") == F.col("pages_available"))
 
 
 # ---- line-ups -----------------------------------------------------------------------------

@@ -268,3 +268,28 @@ def test_collector_keeps_late_pages_and_rejects(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.provider_fixture_id, r.decimal_odds) for r in stored.collect()) == [("1", 2.0), ("2", 3.0), ("2", 4.0)]
     assert spark.read.parquet(str(tmp_path / "out_rejected")).count() == 5
+    manifest = spark.read.parquet(str(tmp_path / "out_manifest"))
+    assert sorted((r.rows, r.fixtures, r.invalid_values, r.complete) for r in manifest.collect()) == [(1, 1, 1, True), (1, 1, 1, True), (3, 2, 3, True)]
+
+
+def test_collector_goes_on_after_bad_pages_and_keeps_the_first_price(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    at = "2024-01-20T10:00:00+00:00"
+    runs = [[_odds_page(1, at, 2.5), _odds_page(1, at, 2.25), _odds_page(7, None, 3.0)], [_odds_page(1, at, 9.0), _odds_page(1, at, 2.25), _odds_page(2, at, 4.0)]]
+    for k, pages in enumerate(runs):
+        (landing / f"{k}.json").write_text("\n".join(pages))
+        jobs.collect_odds(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.provider_fixture_id, r.decimal_odds) for r in stored) == [("1", 2.25), ("2", 4.0)]
+    assert all(r.provider == feeds.ODDS_PROVIDER and r.collected_at is not None for r in stored)
+    rejected = spark.read.parquet(str(tmp_path / "out_rejected")).filter("reason <> 'price_not_above_one'").collect()
+    assert sorted((r.reason, r.provider_fixture_id, r.decimal_odds) for r in rejected) == [("no_update_time", "7", None), ("other_price", "1", 2.5), ("other_price", "1", 9.0)]
+
+
+def test_odds_manifest_counts_pages_once(spark):
+    page = lambda current, total, fixture: _odds_page(fixture, "2024-01-20T10:00:00+00:00", 2.0).replace('"current": 1, "total": 1', f'"current": {current}, "total": {total}')
+    rows = [("a", page(1, 2, 1)), ("a", page(2, 2, 2)), ("b", page(1, 3, 1)), ("b", page(1, 3, 1)), ("c", '{"response": []}')]
+    pages = spark.createDataFrame(rows, "c string, v string").select("c", F.from_json("v", feeds.ODDS_PAGE).alias("p")).select("c", "p.*")
+    got = {r.c: (r.pages_collected, r.pages_available, r.complete, r.fixtures, r.rows, r.invalid_values) for r in feeds.odds_manifest(pages, ["c"]).collect()}
+    assert got == {"a": (2, 2, True, 2, 2, 2), "b": (1, 3, False, 1, 2, 2), "c": (1, 1, True, 0, 0, 0)}
