@@ -8,31 +8,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = (), slices: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = (), slices: int = 2_500) -> DataFrame:
     """One row per group with ``n`` and ``q0, q1, ...`` (linear interpolation, NULLs ignored).
 
-    A first pass counts values in ``slices`` equal-width slices of each group's range; only the
-    slices holding a wanted order statistic are then ranked, as distinct values with counts."""
+    A first pass sketches each group with an error of a quarter of n / ``slices`` ranks, so the sketched values n / ``slices`` ranks below and
+    above a probability enclose its order statistics wherever outliers lie.  A second pass counts what is below and the distinct values between,
+    both combined in the map task; only those values, some 3 n / ``slices`` at most (all of fewer than 4 ``slices`` values), are ranked.  A bracket that misses its rank fails the job."""
     keys = list(by) or ["_all"]
     data = df.select(*[F.col(k) for k in by], *([] if by else [F.lit(1).alias("_all")]), F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    span = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    slot = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * slices), F.lit(slices - 1)).cast("int")
-    sliced = data.join(span, keys).withColumn("_s", slot).select(*keys, "_s", "_v")
-    values = sliced.groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    along = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = values.groupBy(*keys, "_s").agg(F.sum("_c").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0)))
-    wanted = span.select(*keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_i", "_p"))
-    place = F.col("_p") * (F.col("n") - 1)
-    wanted = wanted.select(*keys, "_i", (place - F.floor(place)).alias("_f"), F.explode(F.array(F.floor(place), F.ceil(place))).alias("_k"))
-    wanted = wanted.groupBy(*keys, "_i", "_f", "_k").agg(F.count(F.lit(1)).alias("_m"))
-    held = wanted.join(counts, keys).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c"))).drop("_c")
-    inside = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    near = values.join(held.select(*keys, "_s").distinct(), [*keys, "_s"], "left_semi")
-    ranked = near.withColumn("_r", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    here = F.col("_k") - F.col("_before")
-    found = held.join(ranked, [*keys, "_s"]).filter((here >= F.col("_r")) & (here < F.col("_r") + F.col("_c")))
-    one = found.groupBy(*keys, "_i", "_f").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    one = one.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    step = 1 / slices
+    low, high = ([min(max(p + side * step, 0.0), 1.0) for p in probabilities] for side in (-1, 1))
+    sketch = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", [*low, *high], 4 * slices).alias("_near"))
+    brackets = []
+    for i, p in enumerate(probabilities):
+        # in a group of few values a single rank may be wider than the bracket
+        lo = F.when((F.col("n") < 4 * slices) | F.lit(low[i] == 0), F.col("_least")).otherwise(F.col("_near")[i])
+        hi = F.when((F.col("n") < 4 * slices) | F.lit(high[i] == 1), F.col("_most")).otherwise(F.col("_near")[len(low) + i])
+        brackets.append(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place"), lo.alias("lo"), hi.alias("hi")))
+    wanted = sketch.select(*keys, "n", F.array(*brackets).alias("_b"))
+    # what lies below a bracket is one row without a value
+    met = data.join(wanted.select(*keys, "_b"), keys).select(*keys, "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_b"))
+    counts = met.groupBy(*keys, "_b", F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    along = Window.partitionBy(*keys, "_b").orderBy(F.col("_x").asc_nulls_first())
+    ranked = counts.withColumn("_r", F.coalesce(F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("_x IS NOT NULL")
+    at = lambda k: F.max(F.when((k >= F.col("_r")) & (k < F.col("_r") + F.col("_c")), F.col("_x")))
+    one = ranked.groupBy(*keys, "_b").agg(at(F.floor("_b.place")).alias("_l"), at(F.ceil("_b.place")).alias("_u"))
+    value = F.col("_l") + (F.col("_u") - F.col("_l")) * (F.col("_b.place") - F.floor("_b.place"))
+    value = F.when(F.col("_l").isNull() | F.col("_u").isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(value)
+    one = one.select(*keys, F.col("_b.i").alias("_i"), value.alias("_q"))
     wide = one.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probabilities))])
-    return span.select(*keys, "n").join(wide, keys).drop("_all")
+    return wanted.select(*keys, "n").join(wide, keys).drop("_all")

@@ -1,3 +1,4 @@
+import random
 import uuid
 from difflib import SequenceMatcher
 
@@ -162,3 +163,16 @@ def test_checks_fail_closed(spark):
     with pytest.raises(ValueError):
         join_checked(df, df.select("a"), ["a"])
     assert join_checked(df, df.filter("b = 2").select("a"), ["a"], validate="many_to_one").count() == 2
+
+
+def test_quantiles_with_an_outlier_rank_few_values(spark):
+    rng = random.Random(4)
+    values = [rng.gauss(0, 1) for _ in range(20_000)] + [1e12, -1e300, 0.5] + [0.25] * 4_000
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0), ("b", 8.0), ("c", None)], "g string, v double")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, "v", probabilities, ["g"]).collect()}
+    assert set(got) == {"a", "b"} and got["a"].n == len(values)
+    assert [got["a"][f"q{i}"] for i in range(6)] == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
+    assert [got["b"][f"q{i}"] for i in range(6)] == pytest.approx([7, 7.1, 7.25, 7.5, 7.9, 8])
+    coarse = exact_quantiles(df.repartition(7), "v", [0.5], ["g"], slices=25).filter("g = 'a'").first()
+    assert coarse.q0 == pytest.approx(np.quantile(values, 0.5))

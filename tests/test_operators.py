@@ -293,3 +293,20 @@ def test_odds_manifest_counts_pages_once(spark):
     pages = spark.createDataFrame(rows, "c string, v string").select("c", F.from_json("v", feeds.ODDS_PAGE).alias("p")).select("c", "p.*")
     got = {r.c: (r.pages_collected, r.pages_available, r.complete, r.fixtures, r.rows, r.invalid_values) for r in feeds.odds_manifest(pages, ["c"]).collect()}
     assert got == {"a": (2, 2, True, 2, 2, 2), "b": (1, 3, False, 1, 2, 2), "c": (1, 1, True, 0, 0, 0)}
+
+
+def test_latest_quotes_survive_compaction(spark, tmp_path):
+    schema = "match_id int, selection string, quoted_at timestamp, odds double"
+    day = lambda k: dt.datetime(2024, 1, 1 + k)
+    for k in range(5):
+        rows = [(1, "H", day(k), 2.0 + k), (2, "H", day(k), 3.0 + k), (9, "A", day(k), 4.0 + k)] if k != 3 else [(2, "D", day(0), 1.5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    cutoffs = spark.createDataFrame([(1, day(1)), (2, day(30))], "match_id int, cutoff timestamp")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "out")
+    jobs.track_latest_quotes(stream, cutoffs, target, str(tmp_path / "state"), compact_every=2).awaitTermination()
+    assert sorted(r.upto for r in spark.read.parquet(f"{target}/snapshots").collect()) == [1, 3]
+    assert sorted((r.match_id, r.selection, r.odds) for r in jobs.read_latest_quotes(spark, target).collect()) == [(1, "H", 3.0), (2, "D", 1.5), (2, "H", 7.0)]
+    # an older change is in the snapshot, so its folder is not read any more
+    assert jobs.read_latest_quotes(spark, target, before=2).count() == 3
+    assert spark.read.parquet(f"{target}/late").count() == 2 and spark.read.parquet(f"{target}/no_cutoff").count() == 4
