@@ -38,12 +38,10 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Paragraphs of a bucket that one task compares.
 CHUNK = 2_000
-WORDS_KEPT = 500_000
 #: Text that is taken apart at a time.
 PIECE_BYTES = 1 << 20
 #: Words of a passage that is found inside different lines, and of the windows that bring its occurrences together.
 PASSAGE, SEED = 50, 25
-_words: dict[bytes, int] = {}
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -67,11 +65,8 @@ def split(text: str) -> list[tuple[int, int, list[bytes]]]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    for w in [w for w in {*words} if w not in _words]:
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return word_values(np.frombuffer(b" ".join(words), np.uint8), np.r_[0, ends[:-1] + 1], ends)
 
 
 def picks(word: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
