@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_functions import lcs_ratio
 
+from fairline.catalog import resolution
 from fairline.functions import names
 from fairline.operators import resolve
 
@@ -80,6 +81,36 @@ def test_plans(fixtures, monkeypatch):
     assert "Python" not in plan(held[0]) and plan(held[0]).count("Join") == 1
 
 
+def test_letters_are_split_once_a_row(spark, monkeypatch):
+    one = spark.createDataFrame([("ab c",)], "name string")
+    assert plan(one.select(names.letter_places("name").alias("t"))).count("split(") == 2 and plan(one.select(names.letter_tokens("name").alias("t"))).count("split(") == 1
+    clubs = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1, 0, "FC abc", "x"), (2, dt.date(2024, 1, 1), 1, 0, "abd", "y"), (3, dt.date(2024, 1, 1), 1, 0, None, "z")],
+                                  "id long, match_date date, home_goals int, away_goals int, home_name string, away_name string")
+    monkeypatch.setattr(resolution, "external", lambda *a: clubs)
+    monkeypatch.setattr(resolution, "canonical", lambda *a: clubs)
+    out = resolution.u2(spark, "")
+    assert not [line for line in plan(out).splitlines() if "bit_count(" in line and "map_from_entries(" in line]
+    want = {(a, b, None if None in (a, b) else round(lcs_ratio(a, b), 6)) for a in ("abc", "abd", None) for b in ("abc", "abd", None)}
+    assert {tuple(r) for r in out.select("ch", "sh", "similarity").collect()} == want
+
+
+def test_pairs_are_ranked_where_they_met(fixtures, spark, monkeypatch):
+    _, _, left, right = fixtures
+    held = []
+    monkeypatch.setattr(resolve, "stage", lambda df, name: held.append(df) or df)
+    joins = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(joins, None)
+    spark.conf.set(joins, "-1")
+    try:
+        resolve.reconcile_by_similarity(right.withColumnRenamed("id", "match_id"), left.withColumnRenamed("id", "source_id"))
+        lines = plan(held[0]).splitlines()
+    finally:
+        spark.conf.unset(joins) if before is None else spark.conf.set(joins, before)
+    ranked = max(i for i, line in enumerate(lines) if "- Window [row_number() windowspec" in line and "_most" in line)
+    met = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert ranked < met and not [line for line in lines[ranked:met] if "Exchange" in line]
+
+
 def test_runner_up_is_found_before_the_shuffle(spark):
     scored = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("c"), ((F.col("id") * 7919) % 1009).cast("double").alias("s"))
     best = resolve.best_and_runner_up(scored, "k", "s", "c")
