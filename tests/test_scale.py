@@ -1,5 +1,8 @@
 """Joins on larger tables: what is broadcast and what is compared."""
 
+import re
+
+from fairline.operators.quality import raw_census
 from fairline.plans.views import view
 
 ORDERS = (
@@ -26,3 +29,14 @@ def test_unfolded_views_are_not_broadcast_on_an_estimate(spark, tmp_path):
     finally:
         for name, value in zip(limits, held, strict=True):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_raw_census_moves_no_pairs(spark):
+    rows = [("a", 1, "p"), ("a", 1, "p"), ("a", 1, "q"), ("a", 2, "p"), ("a", 2, None), ("a", None, "p"), ("b", 1, "p"), (None, 1, None)]
+    players = spark.createDataFrame(rows, "provider string, match_id long, player_id string").selectExpr(
+        "*", "if(player_id = 'q', 'substitute', 'starter') AS lineup_role", "player_id AS position", "match_id AS shirt_number", "match_id = 1 AS timing_observed")
+    out = raw_census(players)
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert got == {"a": (6, 5, 1, 5, 5, 3, 3), "b": (1, 1, 0, 1, 1, 1, 1), None: (1, 1, 0, 0, 1, 1, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*player_id", plan)
