@@ -203,9 +203,12 @@ def q8_manifest(spark, sf):
     return status.agg(F.count_if(F.col("status") == "same").cast("int").alias("same"), F.count_if(F.col("status") == "changed").cast("int").alias("changed")).withColumn("matches", total)
 
 
-def payloads(spark, sf):
-    """Nested line-up payload per match; some sides lack a starter, a name or the second line-up."""
+def payloads(spark, sf, only=None):
+    """Nested line-up payload per match (of ``only``, if given); some sides lack a starter, a name or the second line-up."""
     rows = lineups(spark, sf)
+    if only is not None:
+        # before the payloads are built: Spark moves the join below their aggregates only if it can broadcast it
+        rows = rows.join(only.select("match_id"), "match_id", "left_semi")
     who = F.struct(F.when(~((F.col("slot") == 12) & (F.col("match_id") % 9 == 0)), F.col("player_id")).alias("id"), F.col("player_id").alias("name"), F.col("position").alias("pos"))
     entry = F.struct(who.alias("player"))
     side = rows.groupBy("match_id", "league", "season", "side", "team").agg(

@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+
+from fairline.catalog import QUERIES
 from fairline.operators.quality import raw_census
 from fairline.plans.views import view
 
@@ -31,6 +34,18 @@ def test_unfolded_views_are_not_broadcast_on_an_estimate(spark, tmp_path):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@pytest.mark.parametrize("name", ["p9_payload_import", "p13_sampled_coverage"])
+def test_payloads_are_built_for_the_wanted_matches_only(spark, tmp_path, name):
+    spark.range(600).selectExpr(*ORDERS).write.parquet(f"{tmp_path}/orders.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.index("collect_list") < plan.index("LeftSemi")
+
+
 def test_raw_census_moves_no_pairs(spark):
     rows = [("a", 1, "p"), ("a", 1, "p"), ("a", 1, "q"), ("a", 2, "p"), ("a", 2, None), ("a", None, "p"), ("b", 1, "p"), (None, 1, None)]
     players = spark.createDataFrame(rows, "provider string, match_id long, player_id string").selectExpr(
