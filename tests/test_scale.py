@@ -5,6 +5,7 @@ import re
 import pytest
 
 from fairline.catalog import QUERIES
+from fairline.operators.players import pair_history
 from fairline.operators.quality import raw_census
 from fairline.plans.views import view
 
@@ -55,3 +56,25 @@ def test_raw_census_moves_no_pairs(spark):
     assert got == {"a": (6, 5, 1, 5, 5, 3, 3), "b": (1, 1, 0, 1, 1, 1, 1), None: (1, 1, 0, 0, 1, 1, 0)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*player_id", plan)
+
+
+def test_pairs_stay_where_their_line_ups_lie(spark):
+    rows = [(1, "home", 1, True, p, True, 90.0) for p in "abc"] + [(1, "home", 1, True, "c", True, 90.0)]  # one player listed twice
+    rows += [(2, "home", 2, False, p, True, 45.0) for p in "ab"]  # asked for, but not counted
+    rows += [(3, "home", 3, True, p, p != "b", None if p == "c" else 60.0) for p in "abc"] + [(3, "home", 3, True, None, True, 1.0), (None, "home", 3, True, "a", True, 1.0)]
+    rows += [(4, "away", 4, True, p, True, 10.0) for p in "ac"]
+    slots = spark.createDataFrame(rows, "match_id long, side string, date int, counts boolean, player_id string, starter boolean, actual_minutes double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = pair_history(slots)
+        got = {(r["match_id"], r["a"], r["b"]): (r["co_starts"], r["shared_sum"], r["shared_n"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    nothing, once = (0, None, 0), (1, 90.0, 1)
+    assert got == {
+        (1, "a", "b"): nothing, (1, "a", "c"): nothing, (1, "b", "c"): nothing, (2, "a", "b"): once,
+        (3, "a", "b"): once, (3, "a", "c"): once, (3, "b", "c"): once, (4, "a", "c"): (2, 90.0, 1)}
+    final = plan.split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in final and not re.search(r"hashpartitioning\(a#\d+, b#\d+, date", plan)
