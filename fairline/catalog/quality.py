@@ -211,7 +211,8 @@ def payloads(spark, sf, only=None):
         rows = rows.join(only.select("match_id"), "match_id", "left_semi")
     who = F.struct(F.when(~((F.col("slot") == 12) & (F.col("match_id") % 9 == 0)), F.col("player_id")).alias("id"), F.col("player_id").alias("name"), F.col("position").alias("pos"))
     entry = F.struct(who.alias("player"))
-    side = rows.groupBy("match_id", "league", "season", "side", "team").agg(
+    # a match's narrow rows move once; its payload is made and put together where they lie
+    side = rows.repartition("match_id").groupBy("match_id", "league", "season", "side", "team").agg(
         F.collect_list(F.when(F.col("slot") < 11, entry)).alias("startXI"), F.collect_list(F.when(F.col("slot") >= 11, entry)).alias("substitutes"))
     name = F.when(~((F.col("side") == "away") & (F.col("match_id") % 14 == 0)), F.col("team"))
     packed = F.struct(F.struct(F.lit(1).cast("long").alias("id"), name.alias("name")).alias("team"), F.when(F.col("match_id") % 4 != 0, F.lit("4-3-3")).alias("formation"), "startXI", "substitutes")
