@@ -1,13 +1,19 @@
 """Joins on larger tables: what is broadcast and what is compared."""
 
+import datetime
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fairline.catalog import QUERIES
+from fairline.catalog.quality import payloads
+from fairline.catalog.sources import feed_payloads, report_frame
 from fairline.operators.players import pair_history
 from fairline.operators.quality import raw_census
+from fairline.operators.resolve import met_names, name_candidates
 from fairline.plans.views import view
+from fairline.session import SPLIT
 
 ORDERS = (
     "id AS o_orderkey", "id * 7919 % 9973 AS o_custkey", "date_add(date'1995-01-01', cast(id % 900 AS int)) AS o_orderdate",
@@ -78,3 +84,40 @@ def test_pairs_stay_where_their_line_ups_lie(spark):
         (3, "a", "b"): once, (3, "a", "c"): once, (3, "b", "c"): once, (4, "a", "c"): (2, 90.0, 1)}
     final = plan.split("Initial Plan")[0]
     assert "ShuffledHashJoin" in final and not re.search(r"hashpartitioning\(a#\d+, b#\d+, date", plan)
+
+
+def test_views_read_small_splits(spark, tmp_path):
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.range(10).selectExpr(*ORDERS).write.parquet(f"{tmp_path}/orders.parquet")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        view(spark, str(tmp_path), "v_match")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(SPLIT)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # smaller ones stay
+        view(spark, str(tmp_path), "v_match")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+@pytest.mark.parametrize("build", [feed_payloads, report_frame, payloads])
+def test_payloads_are_put_together_where_their_rows_lie(spark, tmp_path, build):
+    spark.range(100).selectExpr(*ORDERS).write.parquet(f"{tmp_path}/orders.parquet")
+    plan = build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange ", plan)) == 1
+
+
+def test_names_meet_once_a_block(spark):
+    schema = "league string, home_goals int, away_goals int, match_date date, home_name string, away_name string"
+    day = datetime.date(2024, 1, 1)
+    rows = [("1", 1, 0, day, "Alpha", "x"), ("1", 1, 0, day, "Alpha", "y"), ("1", 1, 0, day, "Beta", None), ("1", 2, 0, day, "Gamma", "x")]
+    external = spark.createDataFrame(rows, schema).withColumn("external_id", F.monotonically_increasing_id())
+    canonical = spark.createDataFrame([*rows, ("1", 1, 0, datetime.date(2024, 1, 2), "Delta", "x"), ("1", 1, 0, datetime.date(2024, 1, 3), "Far", "x")], schema)
+    canonical = canonical.withColumn("match_id", F.monotonically_increasing_id())
+    met = met_names(external, canonical)
+    old = name_candidates(external, canonical, 0.0).select("_eh", "_ch").distinct()
+    expected = [("alpha", "alpha"), ("alpha", "delta"), ("gamma", "gamma")]
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, old.collect())) == expected
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert below.count("Aggregate") == 2
