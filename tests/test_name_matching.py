@@ -139,3 +139,15 @@ def test_new_matches_get_numbers_where_ids_are_numbers(spark):
     again = resolve.upsert_matches(first["matches"], first["mapping"], incoming, "p")
     assert {r.provider_match_id: r.match_id for r in again["records"].collect()} == {k: v[0] for k, v in ids.items()}
     assert again["matches"].count() == first["matches"].count() == 2
+
+
+def test_rows_of_a_block_move_not_pairs(fixtures):
+    ext, can, left, right = fixtures
+    # ids that stand in several rows, days and scores: their candidates are ranked together
+    left = left.withColumn("external_id", F.concat(F.lit("e"), F.substring("id", 2, 3).cast("int") % 40)).drop("id")
+    names_plan = plan(found := resolve.by_similar_names(left, right.withColumnRenamed("id", "match_id"), 0.9, 0.3))
+    assert "ArrowEvalPython" not in names_plan and names_plan.index("MapInArrow") < names_plan.index("Join") and names_plan.count("collect_list") > 1
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    scored = [(f"e{int(e[0][1:]) % 40}", c[0], ratio(e[3], c[3]) + ratio(e[4], c[4])) for e in ext for c in can if abs((e[1] - c[1]).days) <= 1 and e[2] == c[2] and e[5:] == c[5:]]
+    want = {k: c for k, (s, c, second) in two_best(scored).items() if s >= 0.9 and (second is None or s - second >= 0.3)}
+    assert {r.external_id: r.match_id for r in found.collect()} == want and want
