@@ -10,7 +10,7 @@ from fairline.catalog import QUERIES
 from fairline.catalog.quality import payloads
 from fairline.catalog.sources import feed_payloads, report_frame
 from fairline.operators.players import pair_history
-from fairline.operators.quality import raw_census
+from fairline.operators.quality import choose_lineups, lineup_completeness, raw_census, ready_set
 from fairline.operators.resolve import met_names, name_candidates
 from fairline.plans.views import view
 from fairline.session import SPLIT
@@ -121,3 +121,20 @@ def test_names_meet_once_a_block(spark):
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join"):]
     assert below.count("Aggregate") == 2
+
+
+def test_ready_set_meets_on_the_match_alone(spark):
+    matches = spark.createDataFrame([(1, "A", "B", "H"), (2, "A", "B", "H"), (3, "A", "B", "H"), (None, "A", "B", "H")], "match_id int, home_team string, away_team string, result string")
+    rows = [(m, t, f"{m}{t}{k}", "p", f"{t}{i}" if (m, i) != (2, 0) else "both", "starter", "D") for m in (1, 2, None) for t in "AB" for k in (0, 1) for i in range(11)]
+    stored = spark.createDataFrame(rows, "match_id int, team_id string, lineup_id string, provider string, player_id string, lineup_role string, position string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ready, rejected = ready_set(matches, choose_lineups(lineup_completeness(stored), ["p"]), stored)
+        plan = ready._jdf.queryExecution().executedPlan().toString()
+        assert [(r.match_id, r.home_lineup_id, r.away_lineup_id) for r in ready.collect()] == [(1, "1A0", "1B0")]
+        lost = ["missing_away_lineup", "missing_home_lineup"]
+        assert {r.match_id: r.reasons for r in rejected.collect()} == {2: ["duplicate_starter"], 3: lost, None: lost}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not re.search(r"hashpartitioning\(match_id#\d+, (lineup_id|player_id|home_team|away_team)#\d+, \d", plan)
