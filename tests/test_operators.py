@@ -310,3 +310,17 @@ def test_latest_quotes_survive_compaction(spark, tmp_path):
     # an older change is in the snapshot, so its folder is not read any more
     assert jobs.read_latest_quotes(spark, target, before=2).count() == 3
     assert spark.read.parquet(f"{target}/late").count() == 2 and spark.read.parquet(f"{target}/no_cutoff").count() == 4
+
+
+def test_collector_takes_pages_apart_once(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "0.json").write_text("\n".join([_odds_page(1, "2024-01-20T10:00:00+00:00", 2.0), _odds_page(2, None, 2.0)]))
+    calls, take = [], feeds.odds_values
+    for module in (feeds, jobs):
+        monkeypatch.setattr(module, "odds_values", lambda *a: calls.append(a) or take(*a))
+    jobs.collect_odds(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert len(calls) == 2  # one for the schema
+    manifest = spark.read.parquet(str(tmp_path / "out_manifest")).first()
+    assert (manifest.rows, manifest.fixtures, manifest.invalid_values, manifest.untimed_items) == (1, 1, 1, 1)
+    assert "collection" not in spark.read.parquet(str(tmp_path / "out_rejected")).columns
