@@ -2,12 +2,13 @@
 
 import datetime
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from fairline.operators import players
+from fairline.operators import players, resolve
 from fairline.plans.views import view
 
 ORDERS = (
@@ -85,3 +86,25 @@ def test_the_store_is_attached_by_match(spark, sorted_joins):
     assert {tuple(r) for r in out.collect()} == {(1, "home", 3, 5.0), (None, "away", 1, None)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+
+
+def test_crowded_blocks_meet_as_lists(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcde fc") for _ in range(rng.randint(0, 12))) for _ in range(20)] + [None, "a" * 62, "ab" * 40, "é日 é", "AB C"]
+    day = datetime.date(2024, 1, 1)
+    made = lambda n, ids: [(rng.randrange(ids), rng.choice([day, day, None]), rng.randint(0, 1), 0, rng.choice(pool), rng.choice(pool)) for _ in range(n)]
+    schema = "id long, match_date date, home_goals int, away_goals int, home_name string, away_name string"
+    canonical = spark.createDataFrame(made(90, 70), schema).withColumnRenamed("id", "match_id").localCheckpoint()
+    source = spark.createDataFrame(made(80, 60), schema).selectExpr("concat('s', id) AS source_id", "*").drop("id").localCheckpoint()
+    held = []
+    monkeypatch.setattr(resolve, "stage", lambda df, name: held.append(df) or df)
+    monkeypatch.setattr(resolve, "CROWD", 1000)
+    columns = ["match_id", "mean_similarity", "runner_up_margin"]
+    few = [sorted(map(tuple, part.select(columns).collect())) for part in resolve.reconcile_by_similarity(canonical, source)]
+    monkeypatch.setattr(resolve, "CROWD", 16)
+    crowd = [sorted(map(tuple, part.select(columns).collect())) for part in resolve.reconcile_by_similarity(canonical, source)]
+    assert crowd == few and sum(map(len, few)) >= 40
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in held]
+    assert "MapInArrow" not in plans[0] and "MapInArrow" in plans[1] and plans[1].count("collect_list") > 1
+    ids = ["match_id", "source_id"]
+    assert crowd[0] and held[0].select(ids).sort(ids).collect() == held[1].select(ids).sort(ids).collect()
