@@ -4,12 +4,17 @@ import datetime
 import math
 import random
 import re
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fairline.functions import names
 from fairline.operators import players, resolve
+from fairline.plans import jobs
 from fairline.plans.views import view
+from fairline.sources import feeds
 
 ORDERS = (
     "id AS o_orderkey", "id * 7919 % 9973 AS o_custkey", "date_add(date'1995-01-01', cast(id % 90 AS int)) AS o_orderdate",
@@ -108,3 +113,33 @@ def test_crowded_blocks_meet_as_lists(spark, monkeypatch):
     assert "MapInArrow" not in plans[0] and "MapInArrow" in plans[1] and plans[1].count("collect_list") > 1
     ids = ["match_id", "source_id"]
     assert crowd[0] and held[0].select(ids).sort(ids).collect() == held[1].select(ids).sort(ids).collect()
+
+
+def test_names_are_matched_only_where_their_longest_common_subsequence_may_do(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(names, "_ratio", lambda a, b: calls.append((a, b)) or SequenceMatcher(None, a, b).ratio())
+    # an anagram shares all letters, but no order of them
+    left, right = [{"id": 1, "_once": True, "_h": "abcdefgh", "_a": "xyz"}], [{"m": 7, "_h": "hgfedcba", "_a": "xyz"}, {"m": 8, "_h": "abcdefgx", "_a": "xyz"}]
+
+    class Met:
+        schema = spark.createDataFrame([], "_left array<struct<id long, _once boolean, _h string, _a string>>, _right array<struct<m long, _h string, _a string>>").schema
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([left]), pa.array([right])], names=["_left", "_right"])
+            return [row for part in run(iter([batch])) for row in part.to_pylist()]
+
+    assert names.likely_pairs(Met(), "id", "m", 1.5, 0.2) == [{"id": 1, "m": 8, "score": 1.875}]
+    assert calls and all("hgfedcba" not in call for call in calls)
+
+
+def test_texts_are_parsed_once_a_row(spark):
+    side = '{"players":[%s]}' % ",".join('{"name":"p%d","number":%d}' % (i, i) for i in range(12))
+    stats = "[%s]" % ",".join('{"Player":"p%d","Pos":"CB"}' % i for i in range(12))
+    good = '{"id":"7","match_report":{"lineups":{"home":%s,"away":%s},"player_stats":{"home":%s,"away":%s}}}' % (side, side, stats, stats)
+    texts = spark.createDataFrame([(1, good), (2, good.replace('"Player":"p3"', '"Player":"q"')), (3, "no json"), (4, None)], "k long, value string").localCheckpoint()
+    reports = feeds.parsed(texts, "value", feeds.REPORT, "k")
+    old = texts.select("k", F.from_json("value", feeds.REPORT).alias("r")).select("k", "r.*")
+    assert reports.columns == old.columns and sorted(map(str, reports.collect())) == sorted(map(str, old.collect()))
+    slots = jobs.report_slots(reports)
+    assert slots.groupBy("external_id", "side", "position").count().sort("side").collect() == [("7", "away", "D", 11), ("7", "home", "D", 11)]
+    assert slots._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
