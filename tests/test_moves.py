@@ -143,3 +143,12 @@ def test_texts_are_parsed_once_a_row(spark):
     slots = jobs.report_slots(reports)
     assert slots.groupBy("external_id", "side", "position").count().sort("side").collect() == [("7", "away", "D", 11), ("7", "home", "D", 11)]
     assert slots._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_line_ups_move_once_for_their_aggregates(spark, tmp_path, sorted_joins):
+    spark.range(60).selectExpr(*ORDERS).write.parquet(f"{tmp_path}/orders.parquet")
+    games = view(spark, str(tmp_path), "v_match").withColumnRenamed("match_date", "date")
+    out = players.prematch_player_features(games, view(spark, str(tmp_path), "v_lineup"))
+    assert out.count() == 60
+    assert moves(out, "match_id") == 1
+    assert not re.search(r"Exchange hashpartitioning\(match_id#\d+L?, team", out._jdf.queryExecution().executedPlan().toString())
