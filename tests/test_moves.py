@@ -152,3 +152,17 @@ def test_line_ups_move_once_for_their_aggregates(spark, tmp_path, sorted_joins):
     assert out.count() == 60
     assert moves(out, "match_id") == 1
     assert not re.search(r"Exchange hashpartitioning\(match_id#\d+L?, team", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_starters_are_rebuilt_by_game(spark, sorted_joins):
+    rows = [(g, c, f"{c}{i}") for g in (1, 2, 3) for c in "ab" for i in range(12 if (g, c) != (3, "b") else 11)]
+    played = spark.createDataFrame(rows, "game_id long, club_id string, player_id string")
+    subs = spark.createDataFrame([(1, "a", "a11"), (1, "b", "b3"), (2, "a", "a0"), (2, "a", "a0"), (3, "a", None)], "game_id long, club_id string, player_in_id string")
+    places = spark.createDataFrame([(f"{c}{i}", "D") for c in "ab" for i in range(12)] + [("a1", ""), ("b7", None)], "player_id string, position string")
+    out = resolve.rebuild_starters(played, subs, places)
+    got = out.groupBy("game_id", "club_id", "formation_grid").count().sort("game_id", "club_id")
+    assert [tuple(r) for r in got.collect()] == [(1, "a", "reconstructed:D", 11), (1, "b", "reconstructed:D", 11), (2, "a", "reconstructed:D", 11), (3, "b", "reconstructed:D", 11)]
+    assert not re.search(r"Exchange hashpartitioning\(game_id#\d+L?, club_id", out._jdf.queryExecution().executedPlan().toString())
+    listed = played.filter("game_id = 3").selectExpr("*", "'starting_lineup' AS type", "'M' AS position")
+    both = jobs.external_slots(listed, played, subs, places).groupBy("game_id", "club_id", "position").count().sort("game_id", "club_id")
+    assert [tuple(r) for r in both.collect()] == [(1, "a", "D", 11), (1, "b", "D", 11), (2, "a", "D", 11), (3, "b", "M", 11)]
